@@ -6,14 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.llm.common import table
+from orbitframe.llm.packing import pack_documents
 from orbitframe.llm.simhash import simhash_components
 
 
+def op2_pack(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k") -> DataFrame:
+    """All documents, packed into sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return pack_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path(f"{vocabulary}.json"),
+        public_tokenizers.path(f"{vocabulary}.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, 64 bits, radius 4."""
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=4, words=1, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {"op2_pack": op2_pack, "op6_simhash": op6_simhash}
 ORACLES: dict[str, str] = {}
