@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import table
+from orbitframe.llm import langid
+from orbitframe.llm.common import crc_mod, table
 from orbitframe.llm.packing import pack_documents
 from orbitframe.llm.simhash import simhash_components
 
@@ -22,11 +23,25 @@ def op2_pack(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k")
     )
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; documents whose id's crc32 leaves 2 (mod 4) teach nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    taught = docs.where(crc_mod("doc_id", 4) != 2).select(F.col("doc_id").alias("key"), "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(taught))
+    return found.select(
+        "doc_id",
+        (crc_mod("doc_id", 4) == 2).alias("held_out"),
+        F.col("lang_found.lang").alias("lang_pred"),
+        F.col("lang_found.score").alias("score"),
+        F.col("lang_found.rejected").alias("rejected"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, 64 bits, radius 4."""
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=4, words=1, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_pack": op2_pack, "op6_simhash": op6_simhash}
+QUERIES = {"op2_pack": op2_pack, "op5_langid": op5_langid, "op6_simhash": op6_simhash}
 ORACLES: dict[str, str] = {}
