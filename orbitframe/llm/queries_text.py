@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from orbitframe.llm import langid
 from orbitframe.llm.common import crc_mod, table
 from orbitframe.llm.packing import pack_documents
+from orbitframe.llm.pii import pseudonymize
 from orbitframe.llm.simhash import simhash_components
 
 
+#: The key of the registered queries; a deployment passes its own.
+PII_KEY = b"orbitframe pseudonym key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by format-preserving pseudonyms."""
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", F.col("pii_found.text").alias("text"), F.col("pii_found.n_found").alias("n_found"), F.to_json("pii_found.kinds").alias("kinds"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """All documents, packed into sequences of at most 1024 tokens."""
     import public_tokenizers
@@ -43,5 +54,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_pack": op2_pack, "op5_langid": op5_langid, "op6_simhash": op6_simhash}
+QUERIES = {"op1_pii": op1_pii, "op2_pack": op2_pack, "op5_langid": op5_langid, "op6_simhash": op6_simhash}
 ORACLES: dict[str, str] = {}
