@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,30 @@ def _small_star(down: DataFrame) -> DataFrame:
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+# ------------------------------------------------------- inside one task
+
+
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the labelled sets of ``a[i]`` and ``b[i]`` in place; a set's label is its smallest member."""
+    parent = np.arange(len(label))
+    while True:
+        x, y = parent[label[a]], parent[label[b]]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (jump := parent[parent]).tobytes() != parent.tobytes():
+            parent = jump
+    label[:] = parent[label]
+
+
+def merge_matrix(label: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Join ``left[i]`` and ``right[j]`` wherever ``near[i, j]``, a spanning part of the links at a time."""
+    while (near := near & (label[left][:, None] != label[right][None, :])).any():
+        rows, cols = near.any(axis=1), near.any(axis=0)
+        a = np.concatenate([left[rows], left[near.argmax(axis=0)[cols]]])
+        b = np.concatenate([right[near.argmax(axis=1)[rows]], right[cols]])
+        merge_labels(label, a, b)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from orbitframe.llm.common import materialize
-from orbitframe.llm.graph import connected_components
+from orbitframe.llm.graph import connected_components, merge_matrix
 
 SEED = 42
 #: Fingerprints of a bucket that one task compares with one another; larger buckets are cut into tile pairs.
@@ -163,21 +163,6 @@ def within_radius(queries: np.ndarray, block: np.ndarray, radius: int) -> np.nda
     return out
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the labelled sets of ``a[i]`` and ``b[i]``; a set's label is its smallest member."""
-    parent = np.arange(len(label))
-    while True:
-        x, y = parent[label[a]], parent[label[b]]
-        apart = x != y
-        if not apart.any():
-            break
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        while (jump := parent[parent]).tobytes() != parent.tobytes():
-            parent = jump
-    label[:] = parent[label]
-
-
 def link_sorted(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     """Labels of rows sorted by bucket: blocks are compared with themselves and with later ones of the same bucket."""
     n = len(fps)
@@ -189,12 +174,7 @@ def link_sorted(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
                 break
             near = within_radius(fps[i:stop], fps[j : j + BLOCK], radius)
             left, right = np.arange(i, stop), np.arange(j, min(j + BLOCK, n))
-            while (near := near & (label[left][:, None] != label[right][None, :])).any():
-                hit = near.any(axis=1)
-                also = near.any(axis=0)
-                a = np.concatenate([left[hit], left[near.argmax(axis=0)[also]]])
-                b = np.concatenate([right[near.argmax(axis=1)[hit]], right[also]])
-                _merge(label, a, b)
+            merge_matrix(label, near, left, right)
     return label
 
 
