@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm import quality
+from orbitframe.llm import quality, toxicity
 from orbitframe.llm.common import crc_mod, table
 
 
@@ -17,6 +17,18 @@ def _labelled(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame,
     return docs, taught
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; predicted 1 from a score of 0.5."""
+    docs, taught = _labelled(spark, sf_dir, "toxic")
+    scored = toxicity.score(docs, toxicity.fit(taught))
+    return scored.select(
+        "doc_id",
+        (crc_mod("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxicity_score").alias("score"),
+        F.when(F.col("toxicity_score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document; predicted 1 from a score of 0.3."""
     docs, taught = _labelled(spark, sf_dir, "quality")
@@ -29,5 +41,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_quality": op8_quality}
+QUERIES = {"op3_toxicity": op3_toxicity, "op8_quality": op8_quality}
 ORACLES: dict[str, str] = {}
