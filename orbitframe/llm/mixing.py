@@ -13,9 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitframe.llm.common import WORD, materialize, release
 
@@ -33,6 +34,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of every document such that each source meets its word target.
 
@@ -44,16 +46,16 @@ def mix_sources(
     Null or empty texts have size 0 and take nothing; a source of no words has
     target 0; rows with equal ids are separate documents that round in an
     order set by size and id, so equal rows are interchangeable; an empty table
-    gives no rows. Columns other than the three named are ignored.
+    gives no rows. Columns other than the three named are ignored, but for those
+    in ``carry``, which go along.
     """
-    sized = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
+    picked = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *carry,
     )
+    sized = picked if carry else materialize(picked, "mix-sizes")
     hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
     state = solve_rates(hist, source_targets(hist, weights, share, cap), cap)
     return round_copies(sized, state, cap)
@@ -155,8 +157,10 @@ def round_copies(sized: DataFrame, state: DataFrame, cap: int) -> DataFrame:
     A group holds about ``GROUP_DOCS`` documents of one source, chosen by a hash
     of the id, so a source with a third of all rows is spread over many tasks
     and reruns agree. Long documents go first, so what a group misses in the
-    end is about half its shortest document.
+    end is about half its shortest document. Columns that ``sized`` has beside
+    its own three go along.
     """
+    more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     rated = sized.withColumnRenamed("source", "s").join(state, F.col("s").eqNullSafe(F.col("source")))
     rate = (
         F.when(F.col("target") <= 0, 0.0)
@@ -173,30 +177,34 @@ def round_copies(sized: DataFrame, state: DataFrame, cap: int) -> DataFrame:
         rate.alias("rate"),
         F.pmod(F.xxhash64(F.col("doc_id")), groups).alias("grp"),
         F.xxhash64(F.col("doc_id"), F.lit(1)).alias("mixed"),
+        *more,
     )
-    dealt = ready.repartition("source", "grp").sortWithinPartitions("source", "grp", F.desc("size"), "mixed", "doc_id")
+    dealt = ready.repartition("source", "grp").sortWithinPartitions("source", "grp", F.desc("size"), "mixed", "doc_id").drop("mixed")
 
-    def feed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, carry = None, 0.0
-        for pdf in batches:
-            out = np.empty(len(pdf), np.int64)
-            sources = pdf["source"].where(pdf["source"].notna(), None)
-            for i, (source, grp, size, want) in enumerate(zip(sources, pdf["grp"], pdf["size"], pdf["rate"], strict=True)):
+        for batch in batches:
+            sizes = batch.column("size").to_numpy(zero_copy_only=False)
+            out = np.zeros(len(sizes), np.int64)
+            rows = zip(batch.column("source").to_pylist(), batch.column("grp").to_pylist(), sizes.tolist(), batch.column("rate").to_pylist(), strict=True)
+            for i, (source, grp, size, want) in enumerate(rows):
                 if key != (source, grp):
                     key, carry = (source, grp), 0.0
-                if size == 0:
-                    out[i] = 0
-                    continue
-                due = size * want + carry
-                least = min(int(want), cap)
-                most = min(least + 1, cap)
-                out[i] = most if due - least * size >= size / 2 else least
-                carry = due - out[i] * size
-            done = pdf[["doc_id", "source", "size", "source_size", "target", "rate"]].copy()
-            done["copies"] = out
-            done["taken"] = out * pdf["size"].to_numpy()
-            yield done
-
-    fields = dict(ready.dtypes)
-    schema = f"doc_id {fields['doc_id']}, source {fields['source']}, size long, source_size long, target double, rate double, copies long, taken long"
-    return dealt.mapInPandas(feed, schema)
+                if size:
+                    due = size * want + carry
+                    least = min(int(want), cap)
+                    out[i] = min(least + 1, cap) if due - least * size >= size / 2 else least
+                    carry = due - out[i] * size
+            kept = [n for n in batch.schema.names if n != "grp"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out), pa.array(out * sizes)], [*kept, "copies", "taken"])
+
+    fields = [f for f in dealt.schema.fields if f.name != "grp"]
+    return dealt.mapInArrow(feed, T.StructType([*fields, T.StructField("copies", T.LongType()), T.StructField("taken", T.LongType())]))
+
+
+def mixed_rows(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix_sources`` copies it, columns unchanged."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), whole.alias("whole"))
+    mixed = mix_sources(named, carry=("whole",), **settings)
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("whole.*")

@@ -267,6 +267,19 @@ def near_components(prints: DataFrame, radius: int = 4, bands: int | None = None
     return prints.join(labelled, cols)
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each component of ``docs``, columns unchanged: that of the smallest id.
+
+    Rows that share an id are one document, of which one row stays. Rows without
+    an id are compared with one another for equal texts only.
+    """
+    found = simhash_components(docs, id_col=id_col, text_col=text_col, **settings)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
+    return named.unionByName(nameless)
+
+
 def simhash_components(
     docs: DataFrame,
     shingle: int = 4,
@@ -281,8 +294,8 @@ def simhash_components(
     A-Z are lowered, words split at ASCII white space, shingles keep repeats;
     fewer words than ``shingle`` make one shingle, none make fingerprint zero,
     which links like any other. Null texts are empty texts. Rows that share an
-    id share a class only if their fingerprints agree. An empty table gives no
-    rows; columns other than the two named are ignored.
+    id are one document, and so in one component. An empty table gives no rows;
+    columns other than the two named are ignored.
 
     With the defaults every pair of fingerprints within ``radius`` is found.
     With ``bands`` keys, 64 * ``words`` bits: complete up to ``bands * words - 1``
