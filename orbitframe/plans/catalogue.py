@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from orbitframe.plans import queries_imagery, queries_windows
+
+QUERIES = queries_imagery.QUERIES | queries_windows.QUERIES
+ORACLES = queries_imagery.ORACLES | queries_windows.ORACLES
