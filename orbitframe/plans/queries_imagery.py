@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions import constants as K
 from orbitframe.functions import pixel as P
-from orbitframe.operators import align, augment, labels, mask, normalize, tile
+from orbitframe.operators import align, augment, blocks, labels, mask, normalize, tile
 from orbitframe.sources import surrogate as S
 
 QUERIES: dict = {}
@@ -609,3 +609,47 @@ def augment_d4(spark, sf_dir):
         {"flip_h": F.col("month_idx") % 2 == 1, "flip_v": F.col("city") % 2 == 1, "turns": F.col("month_idx") % 4, "transposed": (F.col("city") + F.col("month_idx")) % 3 == 0}
     )
     return augment.apply_geometry(px, 16).select("city", "month_idx", "y", "x", "r")
+
+
+# ------------------------------------------------------------- block form
+
+
+def _blocks(spark, sf_dir):
+    return blocks.cut(align.to_scenes(S.pixels(spark, sf_dir)), S.PATCH)
+
+
+@_query(ORACLES["quality_summary"])
+def block_quality_summary(spark, sf_dir):
+    return blocks.summarize(blocks.mask_counts(_blocks(spark, sf_dir)))
+
+
+@_query(ORACLES["band_stats"])
+def block_band_stats(spark, sf_dir):
+    return blocks.stats(blocks.histograms(_blocks(spark, sf_dir))).withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+
+
+@_query(ORACLES["zscore_normalize"])
+def block_zscore_normalize(spark, sf_dir):
+    cut = _blocks(spark, sf_dir)
+    moved = blocks.rescale(cut, blocks.stats(blocks.histograms(cut)), S.MIN_USABLE)
+    return blocks.to_pixels(moved, S.PATCH).select("city", "month_idx", "y", "x", "r", "g", "b")
+
+
+# ------------------------------------------------------------ label lookup
+
+
+@_query(
+    """
+, lab as (select city, 'labels_' || replace(regexp_extract(file, '(\\d{4}_\\d{2})', 1), '_', case when city % 2 = 0 then '_' else '' end) || '_' || k || '.geojson' as label_file
+  from scene, (values ('b'), ('a')) t(k) where month_idx % 4 <> 3)
+select s.city, s.month_name, min(l.label_file) as label_file
+from (select city, regexp_extract(file, '(\\d{4}_\\d{2})', 1) as month_name from scene) s
+left join lab l on l.city = s.city and contains(replace(l.label_file, '_', ''), replace(s.month_name, '_', '')) group by s.city, s.month_name""",
+    S.SCENES_SQL,
+)
+def month_label_file(spark, sf_dir):
+    months = S.scenes(spark).withColumn("month_name", P.month_name(F.col("file")))
+    plain = F.when(F.col("city") % 2 == 0, F.col("month_name")).otherwise(F.replace("month_name", F.lit("_"), F.lit("")))
+    files = months.where("month_idx % 4 <> 3").withColumn("k", F.explode(F.array(F.lit("b"), F.lit("a"))))
+    named = files.select("city", F.concat(F.lit("labels_"), plain, F.lit("_"), "k", F.lit(".geojson")).alias("label_file"))
+    return tile.label_file(months.select("city", "month_name"), named)
