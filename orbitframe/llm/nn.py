@@ -37,13 +37,17 @@ class Adam:
             values[name][at] -= (scale * mean[at] / (np.sqrt(square[at]) + 1e-8) + self.rate * self.decay * values[name][at]).astype(values[name].dtype)
 
 
-def labelled_sample(labelled: DataFrame, per_class: dict[int, int], key: str, target: str, salt: str) -> DataFrame:
-    """About ``per_class[y]`` rows of each class y, by a hash of the key: reruns agree, and the count is bounded."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int], salt: str) -> tuple[DataFrame, dict[int, int]]:
+    """``key, target, text`` of about ``per_class[y]`` labelled documents of each class y, and how many labels y has.
+
+    ``labels`` has ``key, target``, ``docs`` has ``key, text``. The labels are
+    drawn first, by a hash of the key, so reruns agree; what is left is bounded
+    by ``per_class`` and is sent to the documents, whose texts stay where they are.
+    """
     width = 1 << 40
-    rows = labelled.where(F.col(target).isin(*per_class))
-    sizes = {r[0]: r[1] for r in rows.groupBy(target).agg(F.count("*")).collect()}
-    if not sizes:
-        return rows.limit(0)
-    share = {y: min(width, -(-width * per_class[y] // n)) for y, n in sizes.items()}
+    rows = labels.where(F.col("target").isin(*per_class)).select("key", "target").distinct()
+    sizes = {r[0]: r[1] for r in rows.groupBy("target").agg(F.count("*")).collect()}
+    share = {y: min(width, -(-width * per_class[y] // n)) for y, n in sizes.items()} or {0: 0}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(width)) < limit[F.col(target)])
+    drawn = rows.where(F.pmod(F.xxhash64(F.col("key"), F.lit(salt)), F.lit(width)) < limit[F.col("target")])
+    return docs.join(F.broadcast(drawn), "key").select("key", "target", "text"), sizes

@@ -161,14 +161,13 @@ def train(bags: list[np.ndarray], target: np.ndarray, epochs: int = 30, batch: i
     return model
 
 
-def fit(labelled: DataFrame, sample: dict[int, int] = SAMPLE) -> AttentionMil:
-    """From ``labelled(key, text, target)`` with target 0 or 1; rows of another or null target teach nothing.
+def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> AttentionMil:
+    """From ``docs(key, text)`` and ``labels(key, target)`` with target 0 or 1; another or null target teaches nothing.
 
     The classes are drawn up to ``sample`` and weigh as they were drawn; scores
-    are moved back to the rate of all labelled rows.
+    are moved back to the rate of all labels.
     """
-    rates = {r[0]: r[1] for r in labelled.where(F.col("target").isin(0, 1)).groupBy("target").agg(F.count("*")).collect()}
-    drawn = labelled_sample(labelled, sample, "key", "target", "quality").select("key", "target", "text")
+    drawn, rates = labelled_sample(docs, labels, sample, "quality")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

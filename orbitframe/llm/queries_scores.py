@@ -9,18 +9,17 @@ from orbitframe.llm import quality, toxicity
 from orbitframe.llm.common import crc_mod, table
 
 
-def _labelled(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame, DataFrame]:
-    """All documents, and those that may teach: labelled rows whose id's crc32 does not leave 0 (mod 5)."""
+def _tables(spark: SparkSession, sf_dir: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents, the same by key, and the labels that may teach: of ids whose crc32 does not leave 0 (mod 5)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0).select("doc_id", F.col(target).alias("target"))
-    taught = docs.join(labels.where("target is not null"), "doc_id").select(F.col("doc_id").alias("key"), "text", "target")
-    return docs, taught
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0).select(F.col("doc_id").alias("key"), F.col(target).alias("target"))
+    return docs, docs.withColumnRenamed("doc_id", "key"), labels
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; predicted 1 from a score of 0.5."""
-    docs, taught = _labelled(spark, sf_dir, "toxic")
-    scored = toxicity.score(docs, toxicity.fit(taught))
+    docs, keyed, labels = _tables(spark, sf_dir, "toxic")
+    scored = toxicity.score(docs, toxicity.fit(keyed, labels))
     return scored.select(
         "doc_id",
         (crc_mod("doc_id", 5) == 0).alias("held_out"),
@@ -31,8 +30,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document; predicted 1 from a score of 0.3."""
-    docs, taught = _labelled(spark, sf_dir, "quality")
-    scored = quality.score(docs, quality.fit(taught))
+    docs, keyed, labels = _tables(spark, sf_dir, "quality")
+    scored = quality.score(docs, quality.fit(keyed, labels))
     return scored.select(
         "doc_id",
         (crc_mod("doc_id", 5) == 0).alias("held_out"),

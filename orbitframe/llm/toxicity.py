@@ -24,6 +24,7 @@ from orbitframe.llm.nn import F32, Adam, labelled_sample, sigmoid
 
 #: Labelled documents of each class that the fit sees, about, and the words it may keep: its documented bounds.
 SAMPLE = {0: 1600, 1: 800}
+PRESENTATIONS = 22_000
 VOCABULARY = 50_000
 WINDOW, STRIDE = 32, 16
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 12, 12, 10, 12
@@ -98,7 +99,9 @@ class BiGru:
         """Rows of ``E``, n-gram buckets and offsets, and the input vectors of distinct words."""
         rows = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         grams, at = gram_ids(words)
-        mean = np.add.reduceat(self.p["G"][grams], at[:-1]) / np.diff(at)[:, None].astype(F32)
+        counts = np.diff(at)
+        mean, some = np.zeros((len(words), GRAM_DIM), F32), counts > 0
+        mean[some] = np.add.reduceat(self.p["G"][grams], at[:-1][some]) / counts[some, None].astype(F32) if some.any() else 0
         return rows, grams, at, np.concatenate([self.p["E"][rows], mean], axis=1)
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
@@ -245,8 +248,12 @@ class Scorer:
         return sigmoid(np.array(out, F32)).astype(float)
 
 
-def train(documents: list[list[bytes]], target: np.ndarray, epochs: int = 9, batch: int = 64, seed: int = 3) -> BiGru:
-    """Fit on sampled documents; in the first epochs on any of their windows, then on those that decide."""
+def train(documents: list[list[bytes]], target: np.ndarray, batch: int = 64, seed: int = 3) -> BiGru:
+    """Fit on sampled documents; in the first epochs on any of their windows, then on those that decide.
+
+    Few documents are gone over more often, so that the steps are alike.
+    """
+    epochs = int(np.clip(PRESENTATIONS // max(len(documents), 1), 9, 60))
     rng = np.random.default_rng(seed)
     df = Counter(w for d in documents for w in set(d))
     kept = sorted((w for w, n in df.items() if n > 1), key=lambda w: (-df[w], w))[:VOCABULARY]
@@ -294,7 +301,7 @@ def _learn(model: BiGru, adam: Adam, documents: list[list[bytes]], target: np.nd
     grads["E"] = dv[known, :WORD_DIM]
     used, back = np.unique(grams, return_inverse=True)
     dg = np.zeros((len(used), GRAM_DIM), F32)
-    np.add.at(dg, back, np.repeat(dv[:, WORD_DIM:] / np.diff(at)[:, None].astype(F32), np.diff(at), axis=0))
+    np.add.at(dg, back, np.repeat(dv[:, WORD_DIM:] / np.maximum(np.diff(at), 1)[:, None].astype(F32), np.diff(at), axis=0))
     grads["G"] = dg
     norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
     if norm > 5:
@@ -302,13 +309,13 @@ def _learn(model: BiGru, adam: Adam, documents: list[list[bytes]], target: np.nd
     adam.update(model.p, grads, {"E": rows[known], "G": used})
 
 
-def fit(labelled: DataFrame, sample: dict[int, int] = SAMPLE) -> BiGru:
-    """From ``labelled(key, text, target)``; rows of a target other than 0 and 1 teach nothing.
+def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> BiGru:
+    """From ``docs(key, text)`` and ``labels(key, target)``; a target other than 0 and 1 teaches nothing.
 
     With one class only, or none, the model is untrained and scores alike.
     """
-    drawn = labelled_sample(labelled, sample, "key", "target", "toxicity").select("key", "target", "text").collect()
-    drawn.sort(key=lambda r: zlib.crc32(str(r["key"]).encode()))
+    drawn = labelled_sample(docs, labels, sample, "toxicity")[0].collect()
+    drawn.sort(key=lambda r: (zlib.crc32(str(r["key"]).encode()), r["target"], r["text"] or ""))
     return train([words_of(r["text"]) for r in drawn], np.array([r["target"] for r in drawn], F32))
 
 
