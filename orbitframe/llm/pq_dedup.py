@@ -111,33 +111,38 @@ def _usable(vec: Column) -> Column:
     return F.coalesce(whole & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _fit(classes: DataFrame, sizes: dict[int, int]) -> dict[int, Quantizer]:
-    total = sum(sizes.values())
+def _fit(classes: DataFrame, sizes: dict[int, tuple[int, int]]) -> dict[int, Quantizer]:
+    """A quantiser per dimension; lists as many as the largest label fills, since only equal labels are compared."""
+    total = sum(n for n, _ in sizes.values())
     width = 1 << 40
     h = F.pmod(F.xxhash64("node", F.lit("pq")), F.lit(width))
     rows = classes.where(h < min(width, -(-width * SAMPLE // max(total, 1)))).select("dim", "node", "vec").collect()
     out = {}
-    for dim, n in sizes.items():
+    for dim, (_, most) in sizes.items():
         mine = sorted((r["node"], r["vec"]) for r in rows if r["dim"] == dim)
         if mine:
-            out[dim] = Quantizer.fit(np.array([v for _, v in mine]), min(MOST_LISTS, max(1, n // LIST_ROWS)))
+            out[dim] = Quantizer.fit(np.array([v for _, v in mine], float), min(MOST_LISTS, max(1, most // LIST_ROWS)))
         else:  # too few to be drawn: one list, no codes
             out[dim] = Quantizer(np.zeros((1, dim)), [np.zeros((1, dim))], [slice(0, dim)])
     return out
 
 
 def _index(models: dict[int, Quantizer], radius: float):
-    """``node, label, dim, vec`` -> ``node, vec, own, lists``."""
+    """Adds ``own``, the vector's list, and ``lists``, those of its probes that do not come before it.
+
+    Of two lists the vectors of the earlier ask the later one, so every pair
+    across lists meets once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                x = _unit(np.stack(rows.column("vec").to_numpy(zero_copy_only=False)))
+                x = _unit(np.stack(rows.column("vec").to_numpy(zero_copy_only=False)).astype(float))
                 own, lists = models[int(dim)].probes(x, radius)
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in ("node", "label", "dim", "n", "vec")), pa.array(own.astype(np.int32)), pa.array([p.astype(np.int32) for p in lists], pa.list_(pa.int32()))],
+                    [*(rows.column(c) for c in ("node", "label", "dim", "n", "vec")), pa.array(own.astype(np.int32)), pa.array([p[p >= o].astype(np.int32) for p, o in zip(lists, own, strict=True)], pa.list_(pa.int32()))],
                     ["node", "label", "dim", "n", "vec", "own", "lists"],
                 )
 
@@ -177,16 +182,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     id count like others. An empty table gives no rows; other columns are ignored.
     """
     radius = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("vec"))
     classes = materialize(
         rows.where(usable).groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("n")).withColumn("dim", F.size("vec")),
         "pq-classes",
     )
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    per_label = classes.groupBy("dim", "label").agg(F.count("*").alias("n"))
+    sizes = {r["dim"]: (r["n"], r["most"]) for r in per_label.groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
     models = classes.sparkSession.sparkContext.broadcast(_fit(classes, sizes))
     kind = dict(classes.dtypes)["label"]
-    shape = f"node long, label {kind}, dim int, n long, vec array<double>, own int, lists array<int>"
+    shape = f"node long, label {kind}, dim int, n long, vec {dict(classes.dtypes)['vec']}, own int, lists array<int>"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _index(models.value, radius)(batches)
@@ -195,8 +201,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     cells = placed.groupBy("label", "dim", F.col("own").alias("list")).agg(F.count("*").alias("m"))
     tiled = materialize(cells.withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).drop("m"), "pq-cells")
     key = ["label", "dim", "list"]
-    asking = placed.select("node", "label", "dim", "n", "vec", (F.lit(1) == 1).alias("asks"), F.explode("lists").alias("list"))
-    holding = placed.select("node", "label", "dim", "n", "vec", (F.lit(1) == 0).alias("asks"), F.col("own").alias("list"))
+    asking = placed.select("node", "label", "dim", "n", "vec", F.lit(True).alias("asks"), "own", F.explode("lists").alias("list"))
+    holding = placed.select("node", "label", "dim", "n", "vec", F.lit(False).alias("asks"), "own", F.col("own").alias("list"))
     # A member lies in one tile of its cell, an asker in one too; every pair of tiles is a group.
     tile = F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int")
     all_tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
@@ -204,7 +210,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
         asking.unionByName(holding)
         .join(tiled, key)
         .withColumn("at", F.explode(F.transform(all_tiles, lambda t: F.when(F.col("asks"), F.struct(t.alias("a"), tile.alias("b"))).otherwise(F.struct(tile.alias("a"), t.alias("b"))))))
-        .select(*key, "at", "node", "n", "vec", "asks")
+        .select(*key, "at", "node", "n", "vec", "asks", "own")
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -216,10 +222,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
         left, right = place[: len(asks)], place[len(asks) :]
         label, links = np.arange(len(names)), np.zeros(len(names), np.int64)
         counts = held["n"].to_numpy()
-        for at, near in compare_list(models.value[dim], coarse, np.stack(asks["vec"]), np.stack(held["vec"]), cosine, radius):
+        foreign = asks["n"].to_numpy() * (asks["own"].to_numpy() != coarse)
+        askers, members = (np.stack(x["vec"]).astype(float) for x in (asks, held))
+        for at, near in compare_list(models.value[dim], coarse, askers, members, cosine, radius):
             mine = left[at : at + len(near)]
             near &= mine[:, None] != right[None, :]
             links[mine] += near @ counts
+            links[right] += foreign[at : at + len(near)] @ near  # members that did not ask back
             merge_matrix(label, near, mine, right)
         out = np.flatnonzero((links > 0) | (label != np.arange(len(names))))
         return pd.DataFrame({"node": names[out], "links": links[out], "root": names[label[out]]})
