@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Python workers: texts go to them in small batches, whatever the session had."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _own_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     held = getattr(_own_dir, "path", None)
     if held is None:
         held = tempfile.mkdtemp(prefix="orbitframe-")

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import small_batches
+
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 13
 #: Training texts per language that k-means sees: the documented bound of the fit.
 SAMPLE_PER_LANGUAGE = 600
 CENTROIDS = 3
 #: Texts of a batch whose vectors are held at once.
-ROWS = 256
+ROWS = 128
 #: A text is rejected where its cosine is below this share of the lowest cosine of training texts of its length.
 REJECT_SHARE = 0.35
 _LENGTHS = np.array([8, 32, 128, 512, 2048])
@@ -171,6 +173,7 @@ def fit(train: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CE
     or language and texts without a letter teach nothing; without any training
     row every text is ``und``.
     """
+    small_batches(train.sparkSession)
     rows = train.where("text is not null and lang is not null")
     seen, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.05)
@@ -206,6 +209,7 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", into
     Null texts and texts without a letter are ``und``, score 0, rejected. Ties
     go to the language that sorts first. All other columns stay as they are.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, rejected boolean")

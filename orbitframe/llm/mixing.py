@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbitframe.llm.common import WORD, materialize, release
+from orbitframe.llm.common import WORD, materialize, release, small_batches
 
 #: Documents of one source that share an error-feedback group, about.
 GROUP_DOCS = 1000
@@ -160,6 +160,7 @@ def round_copies(sized: DataFrame, state: DataFrame, cap: int) -> DataFrame:
     end is about half its shortest document. Columns that ``sized`` has beside
     its own three go along.
     """
+    small_batches(sized.sparkSession)
     more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     rated = sized.withColumnRenamed("source", "s").join(state, F.col("s").eqNullSafe(F.col("source")))
     rate = (

@@ -25,8 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import small_batches
+
 #: Tokens after which a task cuts what it holds; bounds its memory, not its result's completeness.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Sequence numbers a task may use.
 TASK_SEQUENCES = 1 << 36
 #: Longest text that is tokenised in one call.
@@ -55,16 +57,22 @@ class DocumentTokenizer:
     _seam = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self._full = Tokenizer.from_file(path)
-        self._fast = None
+        self._path, self._loaded, self._fast, self._ranks = path, None, None, None
         if ranks_path:
             import tiktoken
 
             with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self._fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+                self._ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self._fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self._ranks, special_tokens={})
+
+    @property
+    def _full(self):
+        """The library's own tokeniser, loaded when a text needs it."""
+        if self._loaded is None:
+            from tokenizers import Tokenizer
+
+            self._loaded = Tokenizer.from_file(self._path)
+        return self._loaded
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) <= LONG_TEXT:
@@ -88,9 +96,12 @@ class DocumentTokenizer:
 
     def sentence_ends(self) -> np.ndarray:
         """By id: whether the token closes a sentence or a line."""
-        out = np.zeros(self._full.get_vocab_size(), bool)
-        for token, i in self._full.get_vocab().items():
-            out[i] = token.endswith((".", "!", "?")) or "Ċ" in token
+        if self._ranks is not None:
+            closing = [i for token, i in self._ranks.items() if token.endswith((b".", b"!", b"?")) or b"\n" in token]
+        else:
+            closing = [i for token, i in self._full.get_vocab().items() if token.endswith((".", "!", "?")) or "\u010a" in token]
+        out = np.zeros(1 << 17, bool)  # beyond any id of a byte-level vocabulary
+        out[closing] = True
         return out
 
 
@@ -98,7 +109,9 @@ class DocumentTokenizer:
 def _tokenizer(path: str, ranks_path: str | None, pattern: str | None) -> tuple[DocumentTokenizer, np.ndarray]:
     """One per worker process and vocabulary."""
     made = DocumentTokenizer(path, ranks_path, pattern)
-    return made, made.sentence_ends()
+    closes = made.sentence_ends()
+    made._ranks = None
+    return made, closes
 
 
 def candidate_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, window: int, costs: PackingCosts) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +201,7 @@ def pack_documents(
     must be readable on executors. ``sequence_id`` depends on the task, so it is
     unique, not gapless.
     """
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(picked.dtypes)["doc_id"]
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import small_batches
+
 ROUNDS = 8
 #: Values whose pseudonyms a worker remembers.
 REMEMBERED = 100_000
@@ -334,6 +336,8 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", into: str
     being a real date.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("text string, n_found long, kinds map<string,long>")
     def replace(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker = Pseudonymizer(key, back=back)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import small_batches
 from orbitframe.llm.nn import F32, Adam, labelled_sample, sigmoid
 
 PASSAGE_WORDS = 64
@@ -191,6 +192,7 @@ def score(docs: DataFrame, model: AttentionMil, text_col: str = "text", into: st
 
     All passages of a text of any length count; other columns stay as they are.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from orbitframe.llm.common import materialize
+from orbitframe.llm.common import materialize, small_batches
 from orbitframe.llm.graph import connected_components, merge_matrix
 
 SEED = 42
@@ -84,6 +84,7 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, w0 .. w{words-1}`` of each row; a null text counts as an empty one."""
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

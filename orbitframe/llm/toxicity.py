@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import small_batches
 from orbitframe.llm.nn import F32, Adam, labelled_sample, sigmoid
 
 #: Labelled documents of each class that the fit sees, about, and the words it may keep: its documented bounds.
@@ -325,6 +326,7 @@ def score(docs: DataFrame, model: BiGru, text_col: str = "text", into: str = "to
     Null, empty and wordless texts are one empty window; texts of any length
     are read whole; other columns stay as they are.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
