@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_intdigest, xxh128_digest
 
 from orbitframe.llm.common import materialize, small_batches
-from orbitframe.llm.graph import connected_components, merge_matrix
+from orbitframe.llm.graph import connected_components, merge_labels, merge_matrix
 
 SEED = 42
 #: Fingerprints of a bucket that one task compares with one another; larger buckets are cut into tile pairs.
@@ -30,6 +30,10 @@ BLOCK = 1024
 BUCKET = 4096
 #: Shingles whose bits are counted in one go.
 CHUNK = 1 << 16
+#: Buckets up to so many rows are compared pair by pair, larger ones by bit planes.
+FEW = 256
+#: Distinct shingles of a group that one task confirms with one another; larger groups are cut into tile pairs.
+GROUP = 500_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -73,7 +77,10 @@ def _remix(hashes: np.ndarray, round_: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
     """Majority bits as signed 64-bit words; all zero for a text without words."""
-    hashes = shingle_hashes(text, shingle)
+    return _majority(shingle_hashes(text, shingle), words)
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
     out = []
     for k in range(words):
         counts = _bit_counts(_remix(hashes, k) if k else hashes)
@@ -179,12 +186,12 @@ def link_sorted(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
+def _link_batches(batches: Iterator[pa.RecordBatch], words: int, radius: int, link=link_sorted) -> Iterator[pa.RecordBatch]:
     """Rows ``node, bucket, w..`` sorted by bucket -> spanning edges; whole buckets at a time."""
     held: list[np.ndarray] = []
 
     def flush(rows: np.ndarray) -> pa.RecordBatch:
-        label = link_sorted(rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius)
+        label = link(rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(rows[moved, 0]), pa.array(rows[label[moved], 0])], ["a", "b"])
 
@@ -268,13 +275,185 @@ def near_components(prints: DataFrame, radius: int = 4, bands: int | None = None
     return prints.join(labelled, cols)
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+# ------------------------------------------------------- exact confirmation
+
+
+def _draws(bits: int, bands: int, draws: int) -> np.ndarray:
+    """``(draws * bands, width)``: the bits of each key; the bands of one draw share none."""
+    width = bits // bands
+    return np.concatenate([np.random.default_rng([SEED, d]).permutation(bits)[: bands * width].reshape(bands, width) for d in range(draws)])
+
+
+def drawn_keys(fps: np.ndarray, bands: int, draws: int) -> np.ndarray:
+    """``(n, bands * draws)`` keys of ``(n, words)`` fingerprints; keys of different bands differ."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    picked = _draws(bits.shape[1], bands, draws)
+    out = np.empty((len(fps), len(picked)), np.int64)
+    for i, at in enumerate(picked):
+        out[:, i] = bits[:, at] @ (1 << np.arange(len(at), dtype=np.int64)) | i << 32
+    return out
+
+
+def link_pairs(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of rows sorted by bucket, linked inside buckets only: pair by pair in small ones, by planes in large ones."""
+    n = len(fps)
+    label = np.arange(n)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.empty(0, int)
+    sizes = np.diff(np.r_[starts, n])
+    small = np.repeat(sizes <= FEW, sizes)
+    at, step = np.flatnonzero(small), 1
+    while len(at := at[at + step < n]) and len(at := at[bucket[at] == bucket[at + step]]):
+        near = at[np.bitwise_count(fps[at] ^ fps[at + step]).sum(axis=1, dtype=np.int64) <= radius]
+        merge_labels(label, near, near + step)
+        step += 1
+    for a, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+        label[a : a + size] = a + link_sorted(bucket[a : a + size], fps[a : a + size], radius)
+    return label
+
+
+def link_sets(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """Labels of sorted distinct hash arrays, linked where the exact Jaccard similarity is ``jaccard`` or more.
+
+    Two sets that similar share one of the first ``n - ceil(jaccard * n) + 1``
+    hashes of each, so only pairs that do are counted out, and of these only
+    such as no earlier link has joined. Empty sets are equal.
+    """
+    n = len(sets)
+    label = np.arange(n)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    empty = np.flatnonzero(sizes == 0)
+    label[empty] = empty[:1].sum()
+    heads = [x[: len(x) - int(np.ceil(jaccard * len(x) - 1e-9)) + 1] for x in sets]
+    hashes = np.concatenate([np.empty(0, np.uint64), *heads])
+    owner = np.repeat(np.arange(n), [len(h) for h in heads])
+    order = np.lexsort((owner, hashes))
+    hashes, owner = hashes[order], owner[order]
+    for i, head in enumerate(heads):
+        spans = zip(np.searchsorted(hashes, head), np.searchsorted(hashes, head, "right"), strict=True)
+        others = np.concatenate([np.empty(0, np.int64), *(owner[a:b] for a, b in spans if b - a > 1)])
+        others = np.unique(others[(others < i) & (label[others] != label[i])])
+        others = others[np.minimum(sizes[others], sizes[i]) >= jaccard * np.maximum(sizes[others], sizes[i]) - 1e-9]
+        while len(others):
+            j, others = others[0], others[1:]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= jaccard * (sizes[i] + sizes[j] - both) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+                others = others[label[others] != low]
+    return label
+
+
+def _confirm_batches(batches: Iterator[pa.RecordBatch], shingle: int, jaccard: float) -> Iterator[pa.RecordBatch]:
+    """Rows ``node, bucket, text`` sorted by bucket -> spanning edges of confirmed pairs; one bucket at a time."""
+    nodes: list[int] = []
+    sets: list[np.ndarray] = []
+    bucket = None
+
+    def flush() -> pa.RecordBatch:
+        ids, label = np.array(nodes, np.int64), link_sets(sets, jaccard)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
+
+    for batch in batches:
+        for node, at, text in zip(*batch.columns, strict=True):
+            if at.as_py() != bucket:
+                if len(nodes) > 1:
+                    yield flush()
+                bucket, nodes, sets = at.as_py(), [], []
+            nodes.append(node.as_py())
+            sets.append(np.unique(shingle_hashes(text.as_py(), shingle)))
+    if len(nodes) > 1:
+        yield flush()
+
+
+def _set_prints(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, w0 .., set, n`` of each row that has an id: fingerprint, digest and size of its set of shingles."""
+    small_batches(docs.sparkSession)
+    picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    names = [f"w{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            rows = np.array([_majority(x, words) for x in sets], np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(words)),
+                    pa.array([xxh128_digest(x.tobytes(), SEED) for x in sets], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                ],
+                ["doc_id", *names, "set", "n"],
+            )
+
+    return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in names) + ", set binary, n long")
+
+
+def _candidate_edges(prints: DataFrame, radius: int, bands: int, draws: int) -> DataFrame:
+    """``a, b``: spanning edges of ``node, w..`` (distinct nodes) whose fingerprints share a key and are within ``radius``."""
+    cols = [c for c in prints.columns if c != "node"]
+    words = len(cols)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            keys = drawn_keys(np.ascontiguousarray(fps), bands, draws)
+            lists = pa.ListArray.from_arrays(np.arange(len(fps) + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "keys"])
+
+    schema = "node long, " + ", ".join(f"{c} long" for c in cols)
+    placed = prints.select("node", *cols).mapInArrow(keyed, schema + ", keys array<long>").select("node", F.explode("keys").alias("bucket"), *cols)
+    counted = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    tiled = materialize(counted.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-buckets")
+    dealt = _tiles(placed.join(tiled, "bucket")).select("node", "bucket", *cols)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _link_batches(it, words, radius, link_pairs), "a long, b long")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """``node, bucket, tiles, ..``: rows of a bucket of several tiles go to every pair of tiles that has theirs."""
+    tile = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.xxhash64("bucket", F.least(j, tile), F.greatest(j, tile)))
+    return rows.withColumn("bucket", F.explode(F.when(F.col("tiles") == 1, F.array("bucket")).otherwise(pairs)))
+
+
+def confirmed_components(docs: DataFrame, shingle: int, words: int, radius: int, bands: int, draws: int, jaccard: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of the rows that have an id: links are pairs of shingle sets of Jaccard ``jaccard`` or more.
+
+    Fingerprints of the sets only choose candidates: whatever is reachable over
+    ``radius`` and the keys is one group, and inside a group every pair that can
+    still join two components is counted exactly (on 64-bit shingle hashes).
+    Equal sets count once. A group beyond ``GROUP`` shingles is confirmed in tile
+    pairs, so all its pairs meet in some task.
+    """
+    prints = materialize(_set_prints(docs, shingle, words, id_col, text_col), "simhash-prints")
+    cols = [f"w{k}" for k in range(words)]
+    sets = materialize(prints.groupBy(*cols, "set", "n").agg(F.min("doc_id").alias("node")), "simhash-sets")
+    classes = materialize(sets.groupBy(*cols).agg(F.min("node").alias("node")).select("node", *cols), "simhash-classes")
+    reached = connected_components(_candidate_edges(classes, radius, bands, draws))
+    named = sets.join(classes.withColumnRenamed("node", "class"), cols).join(reached.withColumnRenamed("node", "class"), "class", "left")
+    grouped = materialize(named.select("node", "n", F.coalesce("component", "class").alias("bucket")), "simhash-groups")
+    sizes = grouped.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
+    members = grouped.select("node", "bucket").join(sizes.select("bucket", F.greatest(F.ceil(F.col("total") / GROUP), F.lit(1)).cast("int").alias("tiles")), "bucket")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    dealt = _tiles(texts.join(members.distinct(), "node")).select("node", "bucket", "text")
+    edges = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _confirm_batches(it, shingle, jaccard), "a long, b long")
+    linked = connected_components(edges)
+    found = sets.join(linked, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", "set").join(found, "set").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None, **settings) -> DataFrame:
     """One row of each component of ``docs``, columns unchanged: that of the smallest id.
 
-    Rows that share an id are one document, of which one row stays. Rows without
-    an id are compared with one another for equal texts only.
+    With ``jaccard`` links are confirmed pairs (``confirmed_components``), else
+    fingerprints within the radius. Rows that share an id are one document, of
+    which one row stays. Rows without an id are compared with one another for
+    equal texts only.
     """
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, **settings)
+    if jaccard is None:
+        found = simhash_components(docs, id_col=id_col, text_col=text_col, **settings)
+    else:
+        found = confirmed_components(docs, jaccard=jaccard, id_col=id_col, text_col=text_col, **settings)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
     nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from orbitframe.llm import simhash
 from orbitframe.llm.pii import Pseudonymizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,3 +62,46 @@ def test_run_and_empty(spark, sf_dir, tmp_path):
     assert len(whole) == len(again) > 500 and np.array_equal(np.sort(whole["ids_crc32"]), np.sort(again["ids_crc32"]))
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def edited(rng, words, share):
+    """``words`` with the tail replaced, so that about ``share`` of the 5-word shingles stay in common with them."""
+    n = len(words) - 4
+    same = 2 * share / (1 + share) * n
+    cut = len(words) - round(n - same)
+    return [*words[:cut], *(f"x{v}" for v in rng.integers(0, 10**9, len(words) - cut))]
+
+
+def test_near_copies_are_exact_in_both_directions(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 2000)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(160):
+        words = [f"w{v}" for v in rng.integers(0, 10**9, int(rng.integers(60, 400)))]
+        copies = [words] + [edited(rng, words, rng.uniform(0.7, 0.9)) for _ in range(1 + (i % 40 == 0) * 12)]
+        rows += [(len(rows) + k, " ".join(c)) for k, c in enumerate(copies)]
+    sets = [shingles(t) for _, t in rows]
+    comp, close, apart = list(range(len(rows))), 0, 0
+    for a in range(len(rows)):
+        for b in range(a):
+            alike = jaccard(sets[a], sets[b])
+            close, apart = close + (0.8 <= alike < 0.85), apart + (0.7 <= alike < 0.8)
+            if alike >= 0.8 and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    assert close > 40 and apart > 40
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(comp)
+
+
+def test_link_sets_equals_all_pairs():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, int(rng.integers(0, 12))).astype(np.uint64)) for _ in range(300)]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if c == high else c for c in label]
+    assert simhash.link_sets(sets, 0.8).tolist() == label
