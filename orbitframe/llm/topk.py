@@ -79,7 +79,10 @@ def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the ids and scores of its ``k`` best points that score ``known`` or more, smaller ids first in ties."""
+    """Per query the ids and scores of its ``k`` best ids that score ``known`` or more, smaller ids first in ties.
+
+    Points that repeat an id are one candidate with its best score.
+    """
     points, queries = _exact(points, queries)
     tree = KdTree.build(points)
     found = []
@@ -102,7 +105,8 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
                 continue
             best_ids = np.concatenate([best_ids, ids[rows][good]])
             best = np.concatenate([best, scores[good]])
-            keep = np.lexsort((best_ids, -best))[:k]
+            order = np.lexsort((best_ids, -best))
+            keep = order[np.sort(np.unique(best_ids[order], return_index=True)[1])][:k]
             best_ids, best = best_ids[keep], best[keep]
             if len(best) == k:
                 least = max(least, best[-1])
@@ -130,7 +134,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_
     """
     wide = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     points = materialize(
-        wide.where(F.col("id").isNotNull() & _usable(F.col("vec"))).select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"), F.size("vec").alias("dim")),
+        wide.where(F.col("id").isNotNull() & _usable(F.col("vec"))).select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"), F.size("vec").alias("dim")).distinct(),
         "topk-points",
     )
     asking = points.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("vec", "dim")).alias("v"))

@@ -43,6 +43,19 @@ def test_top_k_of_odd_rows(spark, monkeypatch, shard):
     assert [tuple(r) for r in got] == brute_topk(rows, 10, 7)
 
 
+@pytest.mark.parametrize("shard", [2048, 50])
+def test_repeated_ids_leave_room_for_others(spark, monkeypatch, shard):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+    monkeypatch.setattr(topk, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(6)], 0) for i in range(200)]
+    for i in (0, 3, 14, 57):
+        far = 20 * np.array(rows[i][1])
+        rows += [(i, [float(np.float32(x)) for x in far + c * rng.standard_normal(6)], 0) for c in [0.0] * 12 + [0.5] * 12]
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS), every=10, k=7).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == brute_topk(rows, 10, 7)
+
+
 def test_top_k_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0], 0), (100, [2.0], 0), (7, [0.5], 0)], VECTORS)
     assert [tuple(r) for r in topk.top_k(df).orderBy("query_id", "rank").collect()] == [(0, 1, 100, 2048 * 1024), (0, 2, 7, 512 * 1024), (100, 1, 0, 2048 * 1024), (100, 2, 7, 2048 * 512)]
