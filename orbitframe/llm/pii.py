@@ -122,16 +122,26 @@ def _email(net: Feistel, m: str, back: bool) -> str | None:
     return permute_symbols(net, head, b"email", back) + dot + top
 
 
-def _card(net: Feistel, m: str, back: bool) -> str | None:
+def _heads(m: str) -> list[str]:
+    """What stands before each separator inside a find, shortest first."""
+    return [m[: gap.start()] for gap in re.finditer(r"[ -]", m)]
+
+
+def _is_card(m: str) -> bool:
     digits = re.sub(r"\D", "", m)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _card(net: Feistel, m: str, back: bool) -> str | None:
+    if not _is_card(m):
         return None
-    payload = digits[:-1]
+    payload = re.sub(r"\D", "", m)[:-1]
     while True:
         payload = _digits_only(net, payload, b"card", back)
         out = payload + luhn_digit(payload)
-        if len(set(out)) > 1:  # else it would not pass as a card: walk on
-            return _refill(m, out)
+        made = _refill(m, out)
+        if len(set(out)) > 1 and not any(map(_is_card, _heads(made))):  # else it would not be read as this card: walk on
+            return made
 
 
 def _long_number(net: Feistel, m: str, back: bool) -> str | None:
@@ -189,14 +199,39 @@ def _ip(net: Feistel, m: str, back: bool) -> str | None:
     return ".".join(reversed(out))
 
 
-def _iban(net: Feistel, m: str, back: bool) -> str | None:
+#: Characters of an IBAN by country.
+_IBAN_LENGTH = {
+    country: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in names.split()
+}
+
+
+def _is_iban(m: str) -> bool:
     plain = m.replace(" ", "")
-    country, check, account = plain[:2], plain[2:4], plain[4:]
-    if not 15 <= len(plain) <= 34 or iban_check(country, account) != check:
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def _has_own_length(m: str) -> bool:
+    return _IBAN_LENGTH.get(m[:2]) == len(m.replace(" ", ""))
+
+
+def _iban(net: Feistel, m: str, back: bool) -> str | None:
+    if not _is_iban(m):
         return None
-    account = permute_symbols(net, account, b"iban" + country.encode(), back)
-    fresh = iter(country + iban_check(country, account) + account)
-    return "".join(c if c == " " else next(fresh) for c in m)
+    plain = m.replace(" ", "")
+    country, account = plain[:2], plain[4:]
+    while True:
+        account = permute_symbols(net, account, b"iban" + country.encode(), back)
+        fresh = iter(country + iban_check(country, account) + account)
+        made = "".join(c if c == " " else next(fresh) for c in m)
+        if _has_own_length(made) or not any(map(_is_iban, _heads(made))):  # else a part of it would be read as one: walk on
+            return made
 
 
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -302,12 +337,29 @@ class Pseudonymizer:
         at = 0
         while m := self._find.search(text, at):
             kind = m.lastgroup
-            made = self.value(kind, m[0])
-            if made is None:
+            for part in self._parts(kind, m[0]):
+                made = self.value(kind, part)
+                if made is not None:
+                    at = m.start() + len(part)
+                    yield m.start(), at, kind, made
+                    break
+            else:
                 at = self._after_refusal(text, m)
-                continue
-            yield m.start(), m.end(), kind, made
-            at = m.end()
+
+    @staticmethod
+    def _parts(kind: str, found: str) -> list[str]:
+        """What of a find may be the value: cards and IBANs can be followed by other numbers and words.
+
+        The shortest valid part counts. What follows it then cannot change how
+        it is read, nor its pseudonym, so equal values stay equal and can be
+        inverted. An IBAN of its country's length goes first. A run of digits
+        that fails the check sum and goes on behind a hyphen is no number.
+        """
+        if kind == "card":
+            return [h for h in _heads(found) if _is_card(h) or (h.isdigit() and found[len(h)] == " ")] + [found]
+        if kind == "iban":
+            return sorted([*_heads(found), found], key=lambda h: not _has_own_length(h))
+        return [found]
 
     @staticmethod
     def _after_refusal(text: str, m: re.Match) -> int:

@@ -293,6 +293,23 @@ def test_feistel_is_a_permutation(n, tweak):
     assert [net.permute(v, n, tweak, back=True) for v in out] == list(some)
 
 
+FOLLOWED = [
+    ("4111111111111111", " 12"), ("4111111111111111", " 7"), ("4111 1111 1111 1111", " 123"), ("4111-1111-1111-1111", "-123"), ("4111111111111111", " 12 3"),
+    ("BE68539007547034", " EUR"), ("BE68 5390 0754 7034", " IN"), ("GB82 WEST 1234 5698 7654 32", " PAID IN EUR"), ("DE89370400440532013000", " 12"),
+]
+
+
+@pytest.mark.parametrize("value,rest", FOLLOWED)
+def test_values_before_other_numbers_and_words(value, rest):
+    for key in range(60):
+        there, back = Pseudonymizer(b"k%d" % key), Pseudonymizer(b"k%d" % key, back=True)
+        alone, _ = there.text(f"to {value}, x")
+        got, kinds = there.text(f"to {value}{rest}, x")
+        assert value not in got and sum(kinds.values()) == 1
+        assert got == alone[: -len(", x")] + rest + ", x"
+        assert back.text(got)[0] == f"to {value}{rest}, x"
+
+
 def test_equal_values_stay_linked(spark, odd, nothing):
     rows = [(1, "mail x.y@z.org or x.y@z.org"), (2, "X x.y@z.org"), (3, None), (4, "")]
     out = {r["doc_id"]: r["pii_found"] for r in pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"q").collect()}
