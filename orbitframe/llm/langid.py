@@ -4,7 +4,7 @@ A text is a vector of hashed letter n-grams (n = 1, 2, 3, words padded with a
 space), damped, weighted by inverse document frequency and normalised. Every
 language has several centroids from spherical k-means; a text takes the
 language of the centroid of highest cosine and is rejected where even that one
-is farther away than training texts of its length ever are.
+is farther away than held-out texts of that language and length are.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ SAMPLE_PER_LANGUAGE = 600
 CENTROIDS = 3
 #: Texts of a batch whose vectors are held at once.
 ROWS = 128
-#: A text is rejected where its cosine is below this share of the lowest cosine of training texts of its length.
-REJECT_SHARE = 0.35
+#: A text is rejected where its cosine is below this share of a low quantile of held-out cosines of its language and length.
+REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.02
+#: Held-out texts that a language needs in a length class for a quantile of its own.
+REJECT_TEXTS = 50
 _LENGTHS = np.array([8, 32, 128, 512, 2048])
 _BREAK = re.compile(r"[\W\d_]+")
 _PIECE = 1 << 20
@@ -72,7 +74,7 @@ def _vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.n
 
 @dataclass
 class CentroidModel:
-    """``centroids`` rows are unit vectors of ``languages[owner[row]]``; ``floors`` are cosines by length class."""
+    """``centroids`` rows are unit vectors of ``languages[owner[row]]``; ``floors`` are cosines by language and length class."""
 
     languages: list[str]
     idf: np.ndarray
@@ -90,7 +92,7 @@ class CentroidModel:
             cosine = x @ self.centroids.T
             best = cosine.argmax(axis=1)
             top = cosine[np.arange(len(part)), best]
-            floor = self.floors[np.searchsorted(_LENGTHS, sizes, "right")]
+            floor = self.floors[self.owner[best], np.searchsorted(_LENGTHS, sizes, "right")]
             real = np.array([has_letter(t) for t in part], bool)
             names += [self.languages[self.owner[b]] if r else "und" for b, r in zip(best, real, strict=True)]
             scores.append(np.where(real, np.clip(top, 0, 1), 0.0))
@@ -180,27 +182,47 @@ def fit(train: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CE
     got = _sample(rows, sample)
     languages = sorted({lang for lang, _, _ in got})
     if not languages:
-        return CentroidModel(["und"], idf, np.zeros((1, BUCKETS), np.float32), np.zeros(1, int), np.zeros(len(_LENGTHS) + 1))
-    owner, centers, sims, sizes = [], [], [], []
+        return CentroidModel(["und"], idf, np.zeros((1, BUCKETS), np.float32), np.zeros(1, int), np.zeros((1, len(_LENGTHS) + 1)))
+    owner, centers, sims, sizes, names = [], [], [], [], []
     rng = np.random.default_rng(5)
     for i, lang in enumerate(languages):
         x = _weigh(np.array([c for name, _, c in got if name == lang]), idf)
         c = _cluster(x, centroids, rng)
         owner += [i] * len(c)
         centers.append(c)
-        sims.append((x @ c.T).max(axis=1))
+        sims.append(_held_out(x, centroids, rng))
         sizes += [size for name, size, _ in got if name == lang]
-    return CentroidModel(languages, idf, np.concatenate(centers).astype(np.float32), np.array(owner), _floors(np.concatenate(sims), np.array(sizes)))
+        names += [i] * len(x)
+    floors = _floors(np.concatenate(sims), np.array(sizes), np.array(names), len(languages))
+    return CentroidModel(languages, idf, np.concatenate(centers).astype(np.float32), np.array(owner), floors)
 
 
-def _floors(similarity: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """By length class: a share of the lowest training cosine; a class without examples takes the next shorter one's."""
-    out = np.zeros(len(_LENGTHS) + 1)
-    for k in range(len(out)):
-        mine = similarity[np.searchsorted(_LENGTHS, sizes, "right") == k]
-        out[k] = REJECT_SHARE * mine.min() if len(mine) else (out[k - 1] if k else 0.0)
-    out[0] = 0.0  # too few letters to tell
-    return np.minimum.accumulate(out[::-1])[::-1]
+def _held_out(x: np.ndarray, centroids: int, rng: np.random.Generator) -> np.ndarray:
+    """The cosine of every text with centroids of the half of its language that it is not in."""
+    half = np.arange(len(x)) % 2
+    if len(x) < 2:
+        return np.ones(len(x))
+    out = np.empty(len(x))
+    for side in (0, 1):
+        out[half == side] = (x[half == side] @ _cluster(x[half != side], centroids, rng).T).max(axis=1)
+    return out
+
+
+def _floors(similarity: np.ndarray, sizes: np.ndarray, names: np.ndarray, languages: int) -> np.ndarray:
+    """``(language, length class)``: a share of a low quantile of held-out cosines.
+
+    A language of few texts in a class takes the quantile of all languages in
+    it; a class without examples takes the next shorter one's.
+    """
+    classes = np.searchsorted(_LENGTHS, sizes, "right")
+    out = np.zeros((languages, len(_LENGTHS) + 1))
+    for k in range(1, out.shape[1]):  # the first has too few letters to tell
+        for i in range(languages):
+            mine = similarity[(classes == k) & (names == i)]
+            if len(mine) < REJECT_TEXTS:
+                mine = similarity[classes == k]
+            out[i, k] = REJECT_SHARE * np.quantile(mine, REJECT_QUANTILE) if len(mine) else out[i, k - 1]
+    return out
 
 
 def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", into: str = "lang_found") -> DataFrame:

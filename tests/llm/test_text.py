@@ -1,5 +1,6 @@
 """Fingerprints, packing, language, pseudonyms."""
 
+import base64
 import datetime
 import re
 import zlib
@@ -243,6 +244,24 @@ def test_language_of_odd_rows(spark, odd, nothing, sf_dir):
     assert langid.identify(odd, blank).first()["lang_found"]["lang"] == "und"
 
 
+def test_other_languages_and_junk_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    rng = np.random.default_rng(3)
+    dutch = "de regering heeft vandaag besloten dat het nieuwe wetsvoorstel over de bescherming van het water wordt besproken omdat veel mensen zich zorgen maken over hun gezondheid".split()
+    for n in (200, 1000, 4000):
+        words = " ".join(rng.choice(dutch, n // 5))
+        encoded = base64.b64encode(rng.bytes(n * 3 // 4)).decode()
+        letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), n))
+        assert model.predict([words, encoded, letters])[2].all(), n
+    # One odd text of a language changes next to nothing.
+    odd = spark.createDataFrame([(10**9, base64.b64encode(rng.bytes(3000)).decode(), "en")], "key long, text string, lang string")
+    other = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang").unionByName(odd))
+    assert other.predict([words, letters])[2].all()
+    rows = langid.identify(docs, model).select("lang_found.rejected", F.length("text").alias("n")).where("n >= 40").toPandas()
+    assert rows["rejected"].mean() < 0.003
+
+
 def test_crc_of_ids(spark):
     rows = spark.createDataFrame([(0,), (17,), (None,)], "doc_id long").select("doc_id", crc_mod("doc_id", 7).alias("m")).collect()
     assert {r["doc_id"]: r["m"] for r in rows} == {0: zlib.crc32(b"0") % 7, 17: zlib.crc32(b"17") % 7, None: 0}
