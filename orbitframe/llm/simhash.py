@@ -406,7 +406,8 @@ def _candidate_edges(prints: DataFrame, radius: int, bands: int, draws: int) ->
     counted = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     tiled = materialize(counted.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-buckets")
     dealt = _tiles(placed.join(tiled, "bucket")).select("node", "bucket", *cols)
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _link_batches(it, words, radius, link_pairs), "a long, b long")
+    # Sorted by node too, the links of a bucket lead to its smallest node: those of a group are mostly the same in all its buckets.
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda it: _link_batches(it, words, radius, link_pairs), "a long, b long")
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
