@@ -32,21 +32,23 @@ def brute_topk(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize("shard", [2048, 50])
-def test_top_k_of_odd_rows(spark, monkeypatch, shard):
-    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+@pytest.fixture(params=[(1024, 2048), (40, 25), (4, 8)])
+def layout(request, monkeypatch):
+    """One cell, many cells, cells of several shards, more cells than two rounds ask."""
+    for name, value in zip(("CELL_ROWS", "SHARD_ROWS"), request.param, strict=True):
+        monkeypatch.setattr(topk, name, value)
     monkeypatch.setattr(topk, "LEAF_ROWS", 8)
     monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+
+
+def test_top_k_of_odd_rows(spark, layout):
     rows = rows_of(np.random.default_rng(5), 300)
     df = spark.createDataFrame(rows, VECTORS).withColumnsRenamed({"label": "shard"})
     got = topk.top_k(df, every=10, k=7).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in got] == brute_topk(rows, 10, 7)
 
 
-@pytest.mark.parametrize("shard", [2048, 50])
-def test_repeated_ids_leave_room_for_others(spark, monkeypatch, shard):
-    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
-    monkeypatch.setattr(topk, "LEAF_ROWS", 8)
+def test_repeated_ids_leave_room_for_others(spark, layout):
     rng = np.random.default_rng(11)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(6)], 0) for i in range(200)]
     for i in (0, 3, 14, 57):
@@ -62,6 +64,54 @@ def test_top_k_with_few_candidates(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_scores_are_exact_at_any_size(spark, layout):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(256)], 0) for i in range(60)]
+    rows += [(100 + i, [3e5 * (i % 4 + 1), *[0.25 * (i % 3)] * 255], 0) for i in range(40)]
+    # Scores around 2**60 that differ in their last bits, and ties there.
+    rows += [(200 + i, [float(2.0**19), float(2.0**18 + (i % 5) * 2.0**-6), *[0.0] * 254], 0) for i in range(40)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), every=20, k=7).orderBy("query_id", "rank").collect()
+    want = brute_topk(rows, 20, 7)
+    assert max(abs(t[3]) for t in want) > 2**53
+    assert [tuple(r) for r in got] == want
+    assert topk.top_k(spark.createDataFrame([(0, [3e5, 0.0], 0), (1, [3e5, 0.0], 0), (2, [1.0, 0.0], 0)], VECTORS), every=2, k=1).orderBy("query_id").collect()[0]["vec_id"] == 1
+
+
+def test_a_score_beyond_longs_is_an_error(spark):
+    rows = [(0, [1e7, 0.0], 0), (1, [1e30, 0.0], 0), (2, [2.0, 5.0], 0)]
+    with pytest.raises(Exception, match="beyond the range of longs"):
+        topk.top_k(spark.createDataFrame(rows, VECTORS), every=100, k=1).collect()
+    low = [(0, [1e7, 0.0], 0), (1, [-1e30, 0.0], 0), (2, [2.0, 5.0], 0)]
+    assert [tuple(r) for r in topk.top_k(spark.createDataFrame(low, VECTORS), every=100, k=1).collect()] == [(0, 1, 2, int(1e7) * 1024 * 2048)]
+    with pytest.raises(Exception, match="beyond the range of longs"):
+        topk.top_k(spark.createDataFrame(low, VECTORS), every=100, k=2).collect()
+
+
+def test_queries_ask_few_shards(spark, monkeypatch):
+    """In clustered vectors the rows dealt grow far less than queries times shards."""
+    monkeypatch.setattr(topk, "CELL_ROWS", 32)
+    dealt = {}
+    real = topk._asks
+    for n in (1000, 4000):
+        rng = np.random.default_rng(1)
+        centers = 4 * rng.standard_normal((n // 25, 8))
+        rows = [(i, [float(np.float32(x)) for x in centers[i % len(centers)] + 0.2 * rng.standard_normal(8)], 0) for i in range(n)]
+        seen = []
+
+        def counting(*a, seen=seen):
+            out = real(*a)
+            seen.append(out)
+            return out
+
+        monkeypatch.setattr(topk, "_asks", counting)
+        got = topk.top_k(spark.createDataFrame(rows, VECTORS), every=10, k=5).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == brute_topk(rows, 10, 5)
+        dealt[n] = sum(a.count() for a in seen)
+    all_pairs = (4000 / 1000) ** 2
+    assert dealt[4000] / dealt[1000] < 0.6 * all_pairs, dealt
+    print("asks:", dealt, "of", {n: n // 10 * (n // 32) for n in dealt})
+
+
 def test_boxes_bound_every_point():
     rng = np.random.default_rng(0)
     points, queries = rng.integers(-50, 50, (400, 5)).astype(float), rng.integers(-50, 50, (20, 5)).astype(float)
