@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import small_batches
+from orbitframe.llm.common import fresh, small_batches
 
 ROUNDS = 8
 #: Values whose pseudonyms a worker remembers.
@@ -116,10 +116,15 @@ def _digits_only(net: Feistel, text: str, tweak: bytes, back: bool) -> str:
 # ------------------------------------------------------------------ kinds
 
 
+def _recased(like: str, text: str) -> str:
+    """``text`` with capitals where ``like`` has them; a letter stands where a letter stood."""
+    return "".join(b.upper() if a.isupper() else b for a, b in zip(like, text, strict=True))
+
+
 def _email(net: Feistel, m: str, back: bool) -> str | None:
-    # The whole local part and the name of the host, not the top-level domain.
+    # The whole local part and the name of the host, not the top-level domain; capitals make no other address.
     head, dot, top = m.rpartition(".")
-    return permute_symbols(net, head, b"email", back) + dot + top
+    return _recased(head, permute_symbols(net, head.lower(), b"email", back)) + dot + top
 
 
 def _heads(m: str) -> list[str]:
@@ -144,28 +149,28 @@ def _card(net: Feistel, m: str, back: bool) -> str | None:
             return made
 
 
-def _long_number(net: Feistel, m: str, back: bool) -> str | None:
-    """A plain run of 13 to 19 digits that fails the check sum stays outside the set of those that pass."""
-    if not re.fullmatch(r"\d{13,19}", m):
-        return None
-    n = len(m) - 1
-    wrong = (int(m[-1]) - int(luhn_digit(m[:-1]))) % 10
-    value = net.permute(int(m[:-1]) * 9 + wrong - 1, 9 * 10**n, b"number|%d" % n, back)
-    payload = f"{value // 9:0{n}d}"
-    return payload + str((int(luhn_digit(payload)) + value % 9 + 1) % 10)
+#: Country calling codes of one and of two digits; all others have three. Fixed values of the numbering plan.
+_CODES = {1: "1 7", 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"}
+_CODE_DIGITS = {code: n for n, codes in _CODES.items() for code in codes.split()}
 
 
-def _number(net: Feistel, m: str, back: bool) -> str | None:
-    return _card(net, m, back) or _long_number(net, m, back)
+def _calling_code(digits: str) -> str:
+    return digits[: next((n for n in _CODES if _CODE_DIGITS.get(digits[:n]) == n), 3)]
+
+
+def _is_american(m: str) -> bool:
+    digits = re.sub(r"\D", "", m)
+    return m[:1] == "+" and digits[:1] == "1" and len(digits) == 11
 
 
 def _phone(net: Feistel, m: str, back: bool) -> str | None:
-    digits = sum(c.isdigit() for c in m)
-    if not 7 <= digits <= 15:
+    """The national number is permuted; forms without a plus are the three, three and four digits of code 1."""
+    digits = re.sub(r"\D", "", m)
+    if not 7 <= len(digits) <= 15:
         return None
-    lead = re.match(r"\+\d{1,3}(?=[ .-])", m)
-    cut = lead.end() if lead else 0
-    return m[:cut] + _digits_only(net, m[cut:], b"phone", back)
+    code = _calling_code(digits) if m[0] == "+" else ""
+    moved = _digits_only(net, digits[len(code) :], b"phone" + (code or "1").encode(), back)
+    return _refill(m, code + moved)
 
 
 def _ssn(net: Feistel, m: str, back: bool) -> str | None:
@@ -234,7 +239,9 @@ def _iban(net: Feistel, m: str, back: bool) -> str | None:
             return made
 
 
-_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Names of the months; their first three letters are their short forms.
+_MONTHS = "January February March April May June July August September October November December".split()
+_SHORT = [name[:3] for name in _MONTHS]
 _FIRST = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
 
@@ -247,25 +254,55 @@ def _day(y: int, m: int, d: int) -> datetime.date | None:
     return day if 1900 <= y <= 2099 else None
 
 
-def _moved(net: Feistel, day: datetime.date, back: bool) -> datetime.date:
-    return datetime.date.fromordinal(_FIRST + net.permute(day.toordinal() - _FIRST, _DAYS, b"date", back))
+def _moved(net: Feistel, day: datetime.date, back: bool, fits: Callable[[datetime.date], bool] = lambda day: True) -> datetime.date:
+    """Another day; where not all days can be written in a notation, those that can are permuted among themselves."""
+    while True:
+        day = datetime.date.fromordinal(_FIRST + net.permute(day.toordinal() - _FIRST, _DAYS, b"date", back))
+        if fits(day):
+            return day
+
+
+def _number_of(text: str, value: int) -> bool:
+    """Whether ``value`` can stand where ``text`` stood: one place holds no more than 9."""
+    return len(text) > 1 or value < 10
 
 
 def _date(net: Feistel, m: str, back: bool) -> str | None:
-    """A real day of 1900-2099 becomes another, in the same notation; two-place orders keep their own set."""
-    if (x := re.fullmatch(r"(\d{4})([-/.])(\d{2})\2(\d{2})", m)) and (day := _day(int(x[1]), int(x[3]), int(x[4]))):
-        new = _moved(net, day, back)
-        return f"{new.year}{x[2]}{new.month:02d}{x[2]}{new.day:02d}"
-    if (x := re.fullmatch(r"(\d{2})([-/.])(\d{2})\2(\d{4})", m)):
-        for first in ("day", "month"):
-            a, b = (int(x[1]), int(x[3])) if first == "day" else (int(x[3]), int(x[1]))
-            if day := _day(int(x[4]), b, a):
-                new = _moved(net, day, back)
-                while first == "month" and new.day <= 12:  # would read as day first
-                    new = _moved(net, new, back)
-                p, q = (new.day, new.month) if first == "day" else (new.month, new.day)
-                return f"{p:02d}{x[2]}{q:02d}{x[2]}{new.year}"
-    return None
+    """A real day of 1900-2099 becomes another in the same notation; only names of months change the length."""
+    if x := re.fullmatch(r"(\d{4})([-/.])(\d{2})\2(\d{2})", m):
+        if day := _day(int(x[1]), int(x[3]), int(x[4])):
+            new = _moved(net, day, back)
+            return f"{new.year}{x[2]}{new.month:02d}{x[2]}{new.day:02d}"
+        return None
+    if x := re.fullmatch(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})", m):
+        p, q = x[1], x[3]
+        if day := _day(int(x[4]), int(q), int(p)):
+            new = _moved(net, day, back, lambda d: _number_of(p, d.day) and _number_of(q, d.month))
+            return f"{new.day:0{len(p)}d}{x[2]}{new.month:0{len(q)}d}{x[2]}{new.year}"
+        if day := _day(int(x[4]), int(p), int(q)):  # a day beyond 12, else it would read as day first
+            new = _moved(net, day, back, lambda d: d.day > 12 and _number_of(p, d.month))
+            return f"{new.month:0{len(p)}d}{x[2]}{new.day:0{len(q)}d}{x[2]}{new.year}"
+        return None
+    return _written_date(net, m, back)
+
+
+def _written_date(net: Feistel, m: str, back: bool) -> str | None:
+    """``4 March 2021`` or ``Mar 4, 2021``; May counts as a whole name, so short forms keep out of it."""
+    x = re.fullmatch(r"(?:(\d{1,2}) )?([A-Za-z]+)\.? (?:(\d{1,2}),? )?(\d{4})", m)
+    place, word = x[1] or x[3], x[2].capitalize()
+    names = _MONTHS if word in _MONTHS else _SHORT
+    day = _day(int(x[4]), names.index(word) + 1, int(place))
+    if not day:
+        return None
+    new = _moved(net, day, back, lambda d: _number_of(place, d.day) and (names is _MONTHS or d.month != 5))
+    name = names[new.month - 1]
+    name = name.upper() if x[2].isupper() else name.lower() if x[2].islower() else name
+    pieces = {x.span(2): name, x.span(4): str(new.year), x.span(1) if x[1] else x.span(3): f"{new.day:0{len(place)}d}"}
+    out, at = [], 0
+    for (a, b), piece in sorted(pieces.items()):
+        out += [m[at:a], piece]
+        at = b
+    return "".join(out)
 
 
 def _secret(net: Feistel, m: str, back: bool) -> str | None:
@@ -278,8 +315,12 @@ def _hex_secret(net: Feistel, m: str, back: bool) -> str | None:
     return permute_symbols(net, m, b"hex", back, "0123456789ABCDEF" if m.upper() == m else "0123456789abcdef")
 
 
-def _plain_secret(net: Feistel, m: str, back: bool) -> str | None:
-    return permute_symbols(net, m, b"secret", back)
+def _password(net: Feistel, m: str, back: bool) -> str | None:
+    """What follows the name of a password; behind a colon and a space only what holds a digit, since prose goes on there too."""
+    x = re.fullmatch(r"(\w+ ?[=:] ?[\"']?)(.*)", m, re.DOTALL | re.ASCII)
+    if x[1].rstrip("\"'").endswith(": ") and not re.search(r"\d", x[2]):
+        return None
+    return x[1] + permute_symbols(net, x[2], b"secret", back)
 
 
 Rule = tuple[str, str, Callable[[Feistel, str, bool], "str | None"]]
@@ -290,11 +331,15 @@ RULES: tuple[Rule, ...] = (
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
     ("key", r"(?<!\w)A[KS]IA[A-Z0-9]{16}(?!\w)", _secret),
     ("secret_hex", r"(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?!\w)", _hex_secret),
-    ("password", r"(?:(?<=password=)|(?<=PASSWORD=))[^\s\"'&]{4,128}", _plain_secret),
-    ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)", _date),
+    ("password", r"(?<![A-Za-z])(?i:password|passwd|pwd) ?[=:] ?[\"']?[^\s\"'&]{4,128}", _password),
+    (
+        "date",
+        r"(?<![\w./-])(?:(?:\d{4}([-/.])\d{2}\1\d{2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!(?!T\d\d:\d\d)[\w/-]|\.\d)|(?:\d{1,2} (?i:MONTH)\.? \d{4}|(?i:MONTH)\.? \d{1,2},? \d{4})(?!\w|[-/]\d))".replace("MONTH", "|".join(_MONTHS + _SHORT)),
+        _date,
+    ),
     ("ssn", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)", _ssn),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[-.]\d)", _number),
+    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[-.]\d)", _card),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", _phone),
 )
 
@@ -311,7 +356,7 @@ def _compiled(rules: tuple[Rule, ...]) -> re.Pattern:
 
 
 #: A text without any of these has nothing to find.
-_SIGN = re.compile(r"[0-9@]|password=|PASSWORD=")
+_SIGN = re.compile(r"[0-9@]|(?i:password|passwd|pwd) ?[=:]")
 
 
 class Pseudonymizer:
@@ -352,13 +397,15 @@ class Pseudonymizer:
 
         The shortest valid part counts. What follows it then cannot change how
         it is read, nor its pseudonym, so equal values stay equal and can be
-        inverted. An IBAN of its country's length goes first. A run of digits
-        that fails the check sum and goes on behind a hyphen is no number.
+        inverted. An IBAN of its country's length goes first, and so does a
+        phone number of code 1 and ten digits.
         """
         if kind == "card":
-            return [h for h in _heads(found) if _is_card(h) or (h.isdigit() and found[len(h)] == " ")] + [found]
+            return [*_heads(found), found]
         if kind == "iban":
             return sorted([*_heads(found), found], key=lambda h: not _has_own_length(h))
+        if kind == "phone":
+            return [*(h for h in _heads(found) if _is_american(h)), found]
         return [found]
 
     @staticmethod
@@ -383,9 +430,12 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", into: str
 
     Null and empty texts stay as they are with nothing found; texts of any
     length are scanned whole; equal values have equal pseudonyms in all rows and
-    runs of one key. All other columns stay as they are; an empty table stays
-    empty. Pseudonyms keep length, separators, symbol classes, check digits and
-    being a real date.
+    runs of one key, repeated rows and ids included. All other columns stay as
+    they are: where ``docs`` has a column of the name, underscores are added to
+    ``into`` (``common.fresh``). An empty table stays empty. Pseudonyms keep
+    length, separators, symbol classes, check digits and being a real date; only
+    dates with the name of a month may change their length. Numbers that no
+    validator knows (other runs of digits, days that do not exist) stay.
     """
 
     small_batches(docs.sparkSession)
@@ -403,4 +453,4 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", into: str
                 }
             )
 
-    return docs.withColumn(into, replace(F.col(text_col)))
+    return docs.withColumn(fresh(docs, into), replace(F.col(text_col)))
