@@ -8,6 +8,7 @@ texts are escaped reversibly, so the formatted string reads back to its turns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,10 @@ PARTS = f"array<{PART}>"
 
 #: Turns of one conversation that are put together before the rest joins them.
 CHUNK_TURNS = 256
+#: Inside raw texts, this sign and 0 stand for itself, 1 for an attachment, 2 for the end of a turn.
+SIGN = "\x1f"
+#: Elements of a run of a running sum: an aggregate copies what it has gathered at every step.
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -84,22 +89,35 @@ def _expanded(part: Column, t: ChatTemplate) -> Column:
 
 
 def _visit(parts: Column, t: ChatTemplate) -> Column:
-    """Parts -> pieces of ``(body, attachment)``; a placeholder's body is null until it is numbered."""
+    """Parts -> ``(raw, files)``: one text, escaped as a whole so that no marker forms across parts, and its attachments."""
     known = F.filter(F.coalesce(parts, F.expr(f"cast(array() as {PARTS})")), lambda p: p.isNotNull())
-    return F.transform(
-        known,
-        lambda p: F.struct(
-            F.when(
-                ~F.coalesce(p["type"].isin("image", "audio", "document"), F.lit(False)),
-                escape_text(F.coalesce(p["text"], F.lit(""))),
-            ).alias("body"),
-            p["type"].alias("type"),
-            p["ref"].alias("ref"),
-            _expanded(p, t).alias("tokens"),
-        ),
+    is_file = lambda p: F.coalesce(p["type"].isin("image", "audio", "document"), F.lit(False))
+    plain = lambda p: F.replace(F.coalesce(p["text"], F.lit("")), F.lit(SIGN), F.lit(SIGN + "0"))
+    return F.struct(
+        escape_text(F.concat_ws("", F.transform(known, lambda p: F.when(is_file(p), SIGN + "1").otherwise(plain(p))))).alias("raw"),
+        F.transform(F.filter(known, is_file), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p, t).alias("tokens"))).alias("files"),
     )
 
 
+def _running(numbers: Column) -> Column:
+    """``(at, out)``: the sum of a short array, and the sums before each of its elements."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(numbers, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+
+def _starts(n: Column, length_at: Callable[[Column], Column]) -> Column:
+    """Sums of the ``n`` lengths before each: inside runs first, then over the runs' totals.
+
+    ``length_at`` should read a column that its projection does not compute, else
+    that is computed for every element.
+    """
+    last = F.floor((n - 1) / RUN).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), last), lambda c: _running(F.transform(F.sequence(c * RUN, F.least((c + 1) * RUN, n) - 1), length_at)))
+    before = _running(F.transform(runs, lambda r: r["at"]))["out"]
+    whole = F.flatten(F.zip_with(runs, before, lambda r, at: F.transform(r["out"], lambda x: x + at)))
+    return F.when(n > 0, whole).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def format_conversations(
     messages: DataFrame,
     template: ChatTemplate = ChatTemplate(),
@@ -113,7 +131,7 @@ def format_conversations(
     ``content_col`` is a string or an array of typed parts (``PART``); a part of
     unknown type counts as text. ``loss_spans`` has the 1-based start and the
     length in code points of every text of the trained role inside
-    ``formatted``. ``attachments`` lists ``index, type, ref, tokens`` in order;
+    ``formatted``, and its turn from 0. ``attachments`` lists ``index, type, ref, tokens`` in order;
     placeholder ``<|type_index|>`` marks the place in the text.
 
     Turns are ordered by turn, then role, then content; null turns come first; a
@@ -139,7 +157,7 @@ def format_conversations(
         "conv",
         F.struct(
             F.col("chunk"),
-            F.transform("msgs", lambda m: F.struct(m["role"].alias("role"), _visit(m["parts"], t).alias("pieces"))).alias("turns"),
+            F.transform("msgs", lambda m: F.struct(m["role"].alias("role"), _visit(m["parts"], t).alias("body"))).alias("turns"),
         ).alias("piece"),
     )
     whole = visited.groupBy("conv").agg(F.array_sort(F.collect_list("piece")).alias("chunks"))
@@ -148,92 +166,72 @@ def format_conversations(
 
 
 def _render(turns: DataFrame, t: ChatTemplate) -> DataFrame:
-    is_file = lambda p: p["body"].isNull()
-    files = F.filter(F.flatten(F.transform("turns", lambda m: m["pieces"])), is_file)
-    numbered = F.transform(
-        files,
-        lambda p, i: F.struct((i + 1).alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens")),
+    files = F.flatten(F.transform("turns", lambda m: m["body"]["files"]))
+    numbered = F.transform(files, lambda p, i: F.struct((i + 1).alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))
+    marks = F.transform("attachments", lambda a: F.concat(F.lit("<|"), a["type"], F.lit("_"), a["index"].cast("string"), F.lit("|>")))
+    # All texts as one, cut at the attachments, numbered through, and cut into turns again.
+    between = F.split(F.concat_ws(SIGN + "2", F.transform("turns", lambda m: m["body"]["raw"])), SIGN + "1")
+    filled = F.concat_ws("", F.zip_with(between, marks, lambda text, mark: F.concat(text, F.coalesce(mark, F.lit("")))))
+    bodies = F.transform(F.split(filled, SIGN + "2"), lambda b: F.replace(b, F.lit(SIGN + "0"), F.lit(SIGN)))
+    heads = F.transform("turns", lambda m: F.struct(m["role"].alias("role"), F.concat(F.lit(t.start), escape_role(m["role"]), F.lit("\n")).alias("head")))
+    texts = F.zip_with(heads, bodies, lambda m, b: F.struct(m["role"].alias("role"), m["head"].alias("head"), b.alias("body")))
+    starts = _starts(F.size("texts"), lambda i: F.length(F.get(F.col("texts"), i)["head"]) + F.length(F.get(F.col("texts"), i)["body"]) + len(t.end))
+    spans = F.transform(
+        F.zip_with("texts", starts, lambda m, at: F.struct((m["role"] == t.trained_role).alias("trained"), (at + F.length(m["head"]) + 1).alias("start"), F.length(m["body"]).alias("length"))),
+        lambda s, i: F.struct(s["trained"].alias("trained"), s["start"].alias("start"), s["length"].alias("length"), i.alias("turn")),
     )
-    # Attachments before a turn: a running count over the turns, by slices of their counts.
-    counts = F.transform("turns", lambda m: F.size(F.filter(m["pieces"], is_file)))
-    zero = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("at"))
-    offsets = F.aggregate(
-        F.when(F.size(files) > 0, counts).otherwise(F.expr("cast(array() as array<int>)")),
-        zero,
-        lambda acc, n: F.struct((acc["n"] + n).alias("n"), F.concat(acc["at"], F.array(acc["n"])).alias("at")),
-    )["at"]
-
-    def body(m: Column, before: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            rank = before + F.size(F.filter(F.slice(m["pieces"], F.lit(1), i + 1), is_file))
-            return F.coalesce(p["body"], F.concat(F.lit("<|"), p["type"], F.lit("_"), rank.cast("string"), F.lit("|>")))
-
-        return F.concat_ws("", F.transform(m["pieces"], one))
-
-    texts = F.transform(
-        "turns",
-        lambda m, i: F.struct(
-            m["role"].alias("role"),
-            F.concat(F.lit(t.start), escape_role(m["role"]), F.lit("\n")).alias("head"),
-            body(m, F.coalesce(F.get(F.col("offsets"), i), F.lit(0))).alias("body"),
-        ),
-    )
-    spans = F.aggregate(
-        "texts",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["head"]) + F.length(m["body"]) + len(t.end)).alias("at"),
-            F.when(
-                m["role"] == t.trained_role,
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + F.length(m["head"]) + 1).alias("start"), F.length(m["body"]).alias("length"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
     return (
-        turns.withColumn("offsets", offsets)
-        .withColumn("attachments", numbered)
+        turns.withColumn("attachments", numbered)
         .withColumn("texts", texts)
         .select(
             F.col("conv").alias("conv_id"),
             F.size("texts").cast("long").alias("n_turns"),
             F.concat_ws("", F.transform("texts", lambda m: F.concat(m["head"], m["body"], F.lit(t.end)))).alias("formatted"),
-            spans.alias("loss_spans"),
+            F.transform(F.filter(spans, lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["turn"].alias("turn"))).alias("loss_spans"),
             "attachments",
             F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
         )
     )
 
 
-def read_back(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Column:
-    """``formatted`` -> ``array<struct<role, text>>``, unescaped."""
-    t = template
+def _pieces(formatted: Column, t: ChatTemplate) -> Column:
+    """What stands before each end mark."""
     quoted = "".join("\\" + c if c in "|<>" else c for c in t.end)
     pieces = F.split(formatted, quoted)
-    turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
-    def turn(piece: Column) -> Column:
-        inner = F.substring(piece, F.lit(len(t.start) + 1), F.length(piece))
-        role = F.substring_index(inner, "\n", 1)
-        text = F.substring(inner, F.length(role) + 2, F.length(inner))
-        return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"))
 
-    return F.transform(turns, turn)
+def _turn(piece: Column, t: ChatTemplate) -> Column:
+    inner = F.substring(piece, F.lit(len(t.start) + 1), F.length(piece))
+    role = F.substring_index(inner, "\n", 1)
+    text = F.substring(inner, F.length(role) + 2, F.length(inner))
+    return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"))
 
 
-def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.concat_ws("", F.transform(spans, lambda s: unescape_text(F.substring(formatted, s["start"], s["length"]))))
+def read_back(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Column:
+    """``formatted`` -> ``array<struct<role, text>>``, unescaped."""
+    return F.transform(_pieces(formatted, template), lambda p: _turn(p, template))
 
 
 def digest_conversations(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Digests read back from ``format_conversations``' output."""
-    back = formatted.withColumn("turns", read_back(F.col("formatted"), template)).withColumn(
-        "loss_text", masked_text(F.col("formatted"), F.col("loss_spans"))
+    """Digests read back from ``format_conversations``' output.
+
+    A span's text is cut out of the piece of its turn: a cut out of the whole
+    string would read all that stands before it.
+    """
+    t = template
+    pieces = _pieces(F.col("formatted"), t)
+    starts = _starts(F.size("pieces"), lambda i: F.length(F.get(F.col("pieces"), i)) + len(t.end))
+
+    def masked(s: Column) -> Column:
+        piece = F.get(F.col("placed"), s["turn"])
+        return unescape_text(F.substring(piece["text"], s["start"] - piece["at"], s["length"]))
+
+    back = (
+        formatted.withColumn("pieces", pieces)
+        .withColumn("placed", F.zip_with("pieces", starts, lambda p, at: F.struct(p.alias("text"), at.alias("at"))))
+        .withColumn("turns", F.transform("placed", lambda p: _turn(p["text"], t)))
+        .withColumn("loss_text", F.concat_ws("", F.transform("loss_spans", masked)))
     )
     lines = F.concat_ws("", F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))))
     return back.select(
