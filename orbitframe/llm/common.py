@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +20,16 @@ BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers: texts go to them in small batches, whatever the session had."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds the memory of Python workers: texts go to them in small batches.
+
+    Settings of the session are only ever lowered to ``BATCH_ROWS`` and
+    ``BATCH_BYTES``; they are read when a result is computed, so they stay.
+    """
+    for name, ours in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        digits = re.fullmatch(r"(\d+)b?", spark.conf.get(name).lower())
+        if not digits or not 0 < int(digits[1]) <= ours:
+            spark.conf.set(name, str(ours))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,22 +58,58 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts the lineage in a way that survives lost executors, and gives the
     planner the written size, so that it broadcasts only what it has measured.
+    Whatever ``release`` has not deleted before is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._orbit_path = path
+    if not _left:
+        atexit.register(_clean)
+    _left[path] = spark.sparkContext
     return back
 
 
+#: Folders written and not yet deleted.
+_left: dict[str, object] = {}
+
+
+def _delete(path: str, context) -> None:
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration() if context._jsc is None else context._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean() -> None:
+    for path, context in _left.items():
+        try:
+            _delete(path, context)
+        except Exception:  # noqa: BLE001 - the driver is going down and Java may have gone before
+            return
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_orbit_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(path, df.sparkSession.sparkContext)
+        _left.pop(path, None)
+
+
+#: A key of more rows than both this and a ``HOT_KEYS``-th of all is hot: so there are at most ``HOT_KEYS`` of them.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``one``, which has every key once and in ``n`` how many of ``rows`` have it.
+
+    Hot keys, ``HOT_KEYS`` at most, are broadcast, so that their rows stay where
+    they are; all others meet in a join that no single key can overload.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(one.where(F.col("n") > limit).drop("n"))
+    cold = one.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
 
 
 def crc_mod(column: str, divisor: int) -> Column:

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import materialize
+from orbitframe.llm.common import hot_join, materialize
 from orbitframe.llm.graph import connected_components, merge_matrix
 
-#: Vectors that the quantisers are fitted on, about: the documented bound.
-SAMPLE = 20_000
-#: Distinct vectors a coarse list should hold, and how many lists there may be.
+#: Vectors that the quantisers are fitted on, about, and how many for each list: the documented bound, 65,536 at most.
+SAMPLE, PER_LIST = 20_000, 16
+#: Distinct vectors a coarse list should hold, and how many lists there may be; beyond 2 million vectors of one label lists grow.
 LIST_ROWS = 512
-MOST_LISTS = 1024
+MOST_LISTS = 4096
 SUBSPACES = 8
 CODEWORDS = 32
 #: Members and askers that one task compares; larger lists are cut into tile pairs.
@@ -114,14 +114,15 @@ def _usable(vec: Column) -> Column:
 def _fit(classes: DataFrame, sizes: dict[int, tuple[int, int]]) -> dict[int, Quantizer]:
     """A quantiser per dimension; lists as many as the largest label fills, since only equal labels are compared."""
     total = sum(n for n, _ in sizes.values())
+    wanted = max([SAMPLE, *(PER_LIST * min(MOST_LISTS, most // LIST_ROWS) for _, most in sizes.values())])
     width = 1 << 40
-    h = F.pmod(F.xxhash64("node", F.lit("pq")), F.lit(width))
-    rows = classes.where(h < min(width, -(-width * SAMPLE // max(total, 1)))).select("dim", "node", "vec").collect()
+    h = F.pmod(F.xxhash64("label", "vec", F.lit("pq")), F.lit(width))
+    rows = classes.where(h < min(width, -(-width * wanted // max(total, 1)))).select("dim", "vec").collect()
     out = {}
     for dim, (_, most) in sizes.items():
-        mine = sorted((r["node"], r["vec"]) for r in rows if r["dim"] == dim)
+        mine = sorted(r["vec"] for r in rows if r["dim"] == dim)
         if mine:
-            out[dim] = Quantizer.fit(np.array([v for _, v in mine], float), min(MOST_LISTS, max(1, most // LIST_ROWS)))
+            out[dim] = Quantizer.fit(np.array(mine, float), min(MOST_LISTS, max(1, most // LIST_ROWS)))
         else:  # too few to be drawn: one list, no codes
             out[dim] = Quantizer(np.zeros((1, dim)), [np.zeros((1, dim))], [slice(0, dim)])
     return out
@@ -179,13 +180,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     null or non-finite components, link with nothing and keep their own id;
     vectors of different lengths do not link; rows of one label and vector are
     one class, so any number of copies costs one comparison; rows that repeat an
-    id count like others. An empty table gives no rows; other columns are ignored.
+    id count like others: they link by their own vectors, not by the id. An empty
+    table gives no rows; other columns are ignored.
     """
     radius = float(np.sqrt(2 - 2 * cosine))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("vec"))
     classes = materialize(
-        rows.where(usable).groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("n")).withColumn("dim", F.size("vec")),
+        rows.where(usable).groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("first"), F.count("*").alias("n")).withColumns({"dim": F.size("vec"), "node": F.monotonically_increasing_id()}),
         "pq-classes",
     )
     per_label = classes.groupBy("dim", "label").agg(F.count("*").alias("n"))
@@ -236,17 +238,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     found = materialize(dealt.groupBy(*key, "at").applyInPandas(compare, "node long, links long, root long"), "pq-links")
     reached = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.join(linked, "node", "left").join(reached, "node", "left")
+    # The smallest id of each component; only linked classes have one that is not their own.
+    ends = materialize(reached.join(classes.select("node", "first"), "node"), "pq-ends")
+    least = materialize(ends.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")), "pq-components")
+    labelled = hot_join(ends.select("node", "component"), least, ["component"], ends.count()).select("node", "least")
+    named = classes.join(linked, "node", "left").join(labelled, "node", "left")
     known = named.select(
         "label",
         "vec",
+        "n",
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
-        F.lit(True).alias("linked"),
+        F.coalesce("least", "first").alias("component_id"),
     )
-    # Null labels and vectors meet nothing; unusable ones have no class to meet.
-    return rows.join(known, ["label", "vec"], "left").select(
-        "vec_id",
-        F.when(usable & F.col("linked"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
-        F.when(usable & F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    known = materialize(known, "pq-known")
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = hot_join(rows.where(usable), known, ["label", "vec"], total).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

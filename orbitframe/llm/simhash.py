@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from orbitframe.llm.common import materialize, small_batches
+from orbitframe.llm.common import hot_join, materialize, release, small_batches
 from orbitframe.llm.graph import connected_components, merge_labels, merge_matrix
 
 SEED = 42
@@ -91,19 +91,21 @@ def _majority(hashes: np.ndarray, words: int) -> list[int]:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, w0 .. w{words-1}`` of each row; a null text counts as an empty one."""
-    small_batches(docs.sparkSession)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _printed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle, words)
+
+
+def _printed(picked: DataFrame, shingle: int, words: int) -> DataFrame:
+    """``..., text`` -> ``..., w0 .. w{words-1}``."""
+    small_batches(picked.sparkSession)
+    names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([fingerprint(t.as_py(), shingle, words) for t in batch.column(1)], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(words))],
-                ["doc_id", *(f"w{k}" for k in range(words))],
-            )
+            rows = np.array([fingerprint(t.as_py(), shingle, words) for t in batch.column(batch.num_columns - 1)], np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(words))], [*batch.schema.names[:-1], *names])
 
-    kind = dict(picked.dtypes)["doc_id"]
-    return picked.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"w{k} long" for k in range(words)))
+    kept = ", ".join(f"{name} {kind}" for name, kind in picked.dtypes[:-1])
+    return picked.mapInArrow(run, kept + "".join(f", {w} long" for w in names))
 
 
 # ------------------------------------------------------------ vertical compare
@@ -244,35 +246,48 @@ def _key(blocks: list[tuple[int, int, int]]) -> Column:
     return key
 
 
-def near_components(prints: DataFrame, radius: int = 4, bands: int | None = None) -> DataFrame:
-    """``doc_id, w..`` -> the same rows with ``component_id``.
+def near_edges(classes: DataFrame, radius: int, bands: int | None = None) -> DataFrame:
+    """``node, w..``, distinct by their words -> ``a, b``: spanning edges of the pairs within ``radius``.
 
-    Rows of equal fingerprints are one class before anything is compared, so a
-    group of copies of any size costs one fingerprint. Buckets beyond ``TILE``
-    classes are cut into tile pairs that separate tasks compare. Only spanning
-    edges leave a task. ``component_id`` is the smallest id reachable over
-    links, itself included, and null where no row of the component has an id.
+    Buckets beyond ``TILE`` classes are cut into tile pairs that separate tasks
+    compare. Only spanning edges leave a task.
     """
-    cols = [c for c in prints.columns if c != "doc_id"]
-    classes = materialize(
-        prints.groupBy(*cols).agg(F.min("doc_id").alias("first")).select(F.coalesce("first", F.xxhash64(*cols)).cast("long").alias("node"), "first", *cols),
-        "simhash-classes",
-    )
+    cols = [c for c in classes.columns if c != "node"]
     keys = block_keys(len(cols), radius, classes.count(), bands)
     bucket = F.array(*[F.xxhash64(F.lit(i), _key(k)) for i, k in enumerate(keys)])
     placed = classes.select("node", F.explode(bucket).alias("bucket"), *cols)
     counted = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     tiled = materialize(counted.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-buckets")
-    tile = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.xxhash64("bucket", F.least(j, tile), F.greatest(j, tile)))
-    dealt = placed.join(tiled, "bucket").select("node", F.explode(F.when(F.col("tiles") == 1, F.array("bucket")).otherwise(pairs)).alias("bucket"), *cols)
+    dealt = _tiles(placed.join(tiled, "bucket")).select("node", "bucket", *cols)
     words = len(cols)
-    edges = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _link_batches(it, words, radius), "a long, b long")
-    reached = connected_components(edges)
-    named = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labelled = named.join(smallest, "component").select(*cols, "component_id")
-    return prints.join(labelled, cols)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _link_batches(it, words, radius), "a long, b long")
+
+
+def near_components(prints: DataFrame, radius: int = 4, bands: int | None = None) -> DataFrame:
+    """``doc_id, w..`` -> the same rows with ``component_id``.
+
+    Rows of equal fingerprints are one class before anything is compared, so a
+    group of copies of any size costs one fingerprint; the node of a class is its
+    smallest id. Classes that share an id are linked too. ``component_id`` is the
+    smallest id reachable over links, itself included, and null where no row of
+    the component has an id. Classes of a large share of all rows are broadcast
+    to them (``common.hot_join``), so no task gets all copies of one text.
+    """
+    cols = [c for c in prints.columns if c != "doc_id"]
+    total, top = prints.agg(F.count("*"), F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()
+    if top > 1 << 62:
+        raise ValueError("ids beyond 2**62 leave no numbers for texts without an id")
+    grouped = prints.groupBy(*cols).agg(F.min("doc_id").cast("long").alias("first"), F.count("*").alias("n"))
+    nameless = F.lit(top + 1) + F.monotonically_increasing_id()  # behind all ids, so that any id is smaller
+    classes = materialize(grouped.withColumn("node", F.coalesce("first", nameless)), "simhash-classes")
+    # Ids of several texts: one row each, next to none as a rule.
+    some = F.xxhash64(*cols)
+    many = materialize(prints.where("doc_id is not null").groupBy("doc_id").agg(F.min(some).alias("a"), F.max(some).alias("b")).where("a <> b").select("doc_id"), "simhash-ids")
+    shared = prints.join(many, "doc_id").distinct().join(classes.select("node", *cols), cols).select(F.col("doc_id").cast("long").alias("a"), F.col("node").alias("b"))
+    reached = connected_components(near_edges(classes.select("node", *cols), radius, bands).unionByName(shared))
+    component = F.coalesce("component", "node")
+    labelled = materialize(classes.join(reached, "node", "left").select(*cols, "n", F.when(component <= top, component).alias("component_id")), "simhash-labels")
+    return hot_join(prints, labelled, cols, total).select(*prints.columns, "component_id")
 
 
 # ------------------------------------------------------- exact confirmation
@@ -366,27 +381,27 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch], shingle: int, jaccard: f
         yield flush()
 
 
-def _set_prints(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, w0 .., set, n`` of each row that has an id: fingerprint, digest and size of its set of shingles."""
-    small_batches(docs.sparkSession)
-    picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _set_prints(picked: DataFrame, shingle: int, words: int) -> DataFrame:
+    """``key, doc_id, text`` -> ``key, doc_id, w0 .., set, n``: fingerprint, digest and size of the set of shingles."""
+    small_batches(picked.sparkSession)
     names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(2)]
             rows = np.array([_majority(x, words) for x in sets], np.int64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(words)),
                     pa.array([xxh128_digest(x.tobytes(), SEED) for x in sets], pa.binary()),
                     pa.array([len(x) for x in sets], pa.int64()),
                 ],
-                ["doc_id", *names, "set", "n"],
+                ["key", "doc_id", *names, "set", "n"],
             )
 
-    return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in names) + ", set binary, n long")
+    return picked.mapInArrow(run, "key binary, doc_id long, " + ", ".join(f"{w} long" for w in names) + ", set binary, n long")
 
 
 def _candidate_edges(prints: DataFrame, radius: int, bands: int, draws: int) -> DataFrame:
@@ -417,48 +432,78 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.explode(F.when(F.col("tiles") == 1, F.array("bucket")).otherwise(pairs)))
 
 
-def confirmed_components(docs: DataFrame, shingle: int, words: int, radius: int, bands: int, draws: int, jaccard: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of the rows that have an id: links are pairs of shingle sets of Jaccard ``jaccard`` or more.
+def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """16 bytes that rows of one id and text share."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+
+
+def _confirmed_edges(sets: DataFrame, texts: DataFrame, cols: list[str], shingle: int, radius: int, bands: int, draws: int, jaccard: float) -> DataFrame:
+    """``a, b``: spanning edges of the nodes of ``sets`` whose shingles have Jaccard similarity ``jaccard`` or more.
 
     Fingerprints of the sets only choose candidates: whatever is reachable over
     ``radius`` and the keys is one group, and inside a group every pair that can
-    still join two components is counted exactly (on 64-bit shingle hashes).
-    Equal sets count once. A group beyond ``GROUP`` shingles is confirmed in tile
-    pairs, so all its pairs meet in some task.
+    still join two components is counted exactly (on 64-bit shingle hashes). A
+    group beyond ``GROUP`` shingles is confirmed in tile pairs, so all its pairs
+    meet in some task.
     """
-    prints = materialize(_set_prints(docs, shingle, words, id_col, text_col), "simhash-prints")
-    cols = [f"w{k}" for k in range(words)]
-    sets = materialize(prints.groupBy(*cols, "set", "n").agg(F.min("doc_id").alias("node")), "simhash-sets")
     classes = materialize(sets.groupBy(*cols).agg(F.min("node").alias("node")).select("node", *cols), "simhash-classes")
     reached = connected_components(_candidate_edges(classes, radius, bands, draws))
     named = sets.join(classes.withColumnRenamed("node", "class"), cols).join(reached.withColumnRenamed("node", "class"), "class", "left")
-    grouped = materialize(named.select("node", "n", F.coalesce("component", "class").alias("bucket")), "simhash-groups")
+    grouped = materialize(named.select("node", "n", F.col("rep.key").alias("key"), F.coalesce("component", "class").alias("bucket")), "simhash-groups")
     sizes = grouped.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
-    members = grouped.select("node", "bucket").join(sizes.select("bucket", F.greatest(F.ceil(F.col("total") / GROUP), F.lit(1)).cast("int").alias("tiles")), "bucket")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    dealt = _tiles(texts.join(members.distinct(), "node")).select("node", "bucket", "text")
-    edges = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _confirm_batches(it, shingle, jaccard), "a long, b long")
-    linked = connected_components(edges)
-    found = sets.join(linked, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", "set").join(found, "set").select("doc_id", "component_id")
+    members = grouped.select("node", "key", "bucket").join(sizes.select("bucket", F.greatest(F.ceil(F.col("total") / GROUP), F.lit(1)).cast("int").alias("tiles")), "bucket")
+    dealt = _tiles(texts.join(members, "key")).select("node", "bucket", "text")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _confirm_batches(it, shingle, jaccard), "a long, b long")
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None, **settings) -> DataFrame:
-    """One row of each component of ``docs``, columns unchanged: that of the smallest id.
+def without_near_copies(
+    docs: DataFrame,
+    shingle: int = 4,
+    words: int = 1,
+    radius: int = 4,
+    bands: int | None = None,
+    draws: int = 1,
+    jaccard: float | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of each component of the texts of ``docs``, columns unchanged: that of the smallest id, ids before none.
+
+    With ``jaccard`` links are pairs of shingle sets of that similarity or more,
+    counted exactly (``_confirmed_edges``), else fingerprints within the radius.
+    Texts decide, not ids: rows of one id and different texts are different
+    documents; of rows equal in id and text one stays. Null texts are empty ones,
+    and texts without words are copies of one another. An empty table stays empty.
 
-    With ``jaccard`` links are confirmed pairs (``confirmed_components``), else
-    fingerprints within the radius. Rows that share an id are one document, of
-    which one row stays. Rows without an id are compared with one another for
-    equal texts only.
+    Decisions are made on 16 bytes a row; texts move only to be confirmed, and
+    where the rows to drop are too many to be broadcast.
     """
+    key = _row_keys(docs, id_col, text_col)
+    picked = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    cols = [f"w{k}" for k in range(words)]
+    printed = _printed(picked, shingle, words) if jaccard is None else _set_prints(picked, shingle, words)
+    prints = materialize(printed, "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("rep")
+    sets = materialize(prints.groupBy(*[c for c in prints.columns if c not in ("key", "doc_id")]).agg(first).withColumn("node", F.monotonically_increasing_id()), "simhash-sets")
     if jaccard is None:
-        found = simhash_components(docs, id_col=id_col, text_col=text_col, **settings)
+        edges = near_edges(sets.select("node", *cols), radius, bands)
     else:
-        found = confirmed_components(docs, jaccard=jaccard, id_col=id_col, text_col=text_col, **settings)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-    return named.unionByName(nameless)
+        edges = _confirmed_edges(sets, picked.select("key", "text"), cols, shingle, radius, bands or 1, draws, jaccard)
+    linked = connected_components(edges)
+    best = sets.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("rep").alias("rep"))
+    keepers = best.select(F.col("rep.key").alias("key"), F.lit(True).alias("stays"))
+    decided = prints.groupBy("key").agg(F.count("*").alias("rows")).join(keepers, "key", "left").where("stays is null or rows > 1")
+    decided = materialize(decided.select(F.col("key").alias("_key"), F.col("stays").isNotNull().alias("_one")), "simhash-decided")
+    release(prints)
+    plain = docs.join(decided, key == decided["_key"], "left_anti")
+    return plain.unionByName(_one_each(docs, key, decided.where("_one")))
+
+
+def _one_each(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """One row of each of the ``keys``, which several rows of ``docs`` share."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(keys, key == keys["_key"], "left_semi").select(key.alias("_key"), whole.alias("_row"))
+    return rows.dropDuplicates(["_key"]).select("_row.*")
 
 
 def simhash_components(
@@ -475,8 +520,8 @@ def simhash_components(
     A-Z are lowered, words split at ASCII white space, shingles keep repeats;
     fewer words than ``shingle`` make one shingle, none make fingerprint zero,
     which links like any other. Null texts are empty texts. Rows that share an
-    id are one document, and so in one component. An empty table gives no rows;
-    columns other than the two named are ignored.
+    id are in one component. An empty table gives no rows; columns other than
+    the two named are ignored.
 
     With the defaults every pair of fingerprints within ``radius`` is found.
     With ``bands`` keys, 64 * ``words`` bits: complete up to ``bands * words - 1``

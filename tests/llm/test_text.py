@@ -83,6 +83,30 @@ def test_simhash_of_odd_rows(spark, odd, nothing):
     assert without_near_copies(nothing).count() == 0
 
 
+def test_repeated_ids_link_and_texts_decide(spark):
+    """One id with two texts: one component of fingerprints, but two documents when copies go."""
+    a, b, c = "one two three four five six", "quite another text about other things", "a third text without any likeness at all"
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, c + " x"), (9, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit("clash"))
+    found = {(r["doc_id"], r["w0"]): r["component_id"] for r in simhash_components(df.where("doc_id is not null")).collect()}
+    assert {i: c for (i, _), c in found.items()} == {3: 3, 5: 3, 7: 7, 9: 4, 4: 4} and len(found) == 6
+    for settings_ in ({}, {"shingle": 5, "words": 4, "radius": 60, "bands": 21, "draws": 3, "jaccard": 0.8}):
+        kept = without_near_copies(df, **settings_)
+        assert kept.columns == df.columns
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+        assert got[:4] == [(3, a), (4, ""), (5, b), (7, c)] and len(got) in (4, 5)
+
+
+def test_hot_join_equals_a_join(spark, monkeypatch):
+    from orbitframe.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    one = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    got = common.hot_join(rows, one, ["k"], 300).select("id", "v").collect()
+    assert sorted((r["id"], r["v"]) for r in got) == [(i, 2 * (0 if i % 3 == 0 else i % 50)) for i in range(300)]
+
+
 @given(st.integers(0, 2**32), st.integers(1, 4), st.integers(0, 60))
 @settings(max_examples=25, deadline=None)
 def test_vertical_compare_equals_popcount(seed, words, radius):

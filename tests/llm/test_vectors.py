@@ -168,6 +168,17 @@ def test_no_vectors(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in alone) == [(4, 0, 4, True), (5, 0, 5, True)]
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark, monkeypatch):
+    from orbitframe.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.001], 0), (2, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 1.0], 0), *[(4 + i, [5.0, 5.0], 1) for i in range(9)]]
+    got = pq_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    key = lambda t: (t[0], t[1])
+    assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in got], key=key) == sorted(brute_links(rows, 0.98), key=key)
+    assert [r["n_links"] for r in got if r["vec_id"] == 1] == [1, 1]
+
+
 def test_codes_never_rule_out_a_neighbour():
     rng = np.random.default_rng(7)
     x = pq_dedup._unit(rng.standard_normal((500, 16)))
