@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import small_batches
+from orbitframe.llm.common import fresh, small_batches
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 13
 #: Training texts per language that k-means sees: the documented bound of the fit.
 SAMPLE_PER_LANGUAGE = 600
 CENTROIDS = 3
+#: Texts of its language that a centroid must own, and starts of the clustering.
+LEAST_SHARE, STARTS = 0.05, 3
 #: Texts of a batch whose vectors are held at once.
 ROWS = 128
 #: A text is rejected where its cosine is below this share of a low quantile of held-out cosines of its language and length.
@@ -34,6 +36,7 @@ REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.02
 REJECT_TEXTS = 50
 _LENGTHS = np.array([8, 32, 128, 512, 2048])
 _BREAK = re.compile(r"[\W\d_]+")
+#: Letters of a long text that are counted at a time.
 _PIECE = 1 << 20
 
 
@@ -45,22 +48,35 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
     """Counts by bucket of the n-grams of the lowered letters of a whole text, and how many there are."""
     counts = np.zeros(BUCKETS, np.int64)
     total = 0
-    text = text or ""
-    for at in range(0, len(text), _PIECE):
-        piece = " " + _BREAK.sub(" ", text[at : at + _PIECE].lower()).strip() + " "
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(codes) < 3:
+    seen = np.array([32], np.uint32)  # what the n-grams of the next piece reach back to
+    for piece in _pieces(text or ""):
+        letters = _BREAK.sub(" ", piece.lower()).strip()
+        if not letters:
             continue
+        codes = np.concatenate([seen, np.frombuffer((letters + " ").encode("utf-32-le", "surrogatepass"), np.uint32)])
         two = codes[:-1] * np.uint32(0x9E3779B1) + codes[1:]
         three = (two[:-1] * np.uint32(0x85EBCA6B)) ^ codes[2:]
-        for k, grams in enumerate((codes[1:-1], two, three)):
+        for k, grams in enumerate((codes[1:-1], two[len(seen) - 1 :], three)):
             mixed = (grams + np.uint32(k)) * np.uint32(0xC2B2AE35)
             mixed ^= mixed >> np.uint32(15)
             counts += np.bincount((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(19), minlength=BUCKETS)
-        total += len(codes)
+        total += len(codes) - len(seen) + (not total)
+        seen = codes[-2:]
     return counts, total
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text by pieces that end behind a word, so that counts are those of the whole."""
+    at = 0
+    while len(text) - at > _PIECE:
+        gap = _BREAK.search(text, at + _PIECE)
+        if not gap:
+            break
+        yield text[at : gap.end()]
+        at = gap.end()
+    yield text[at:]
+
+
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts.astype(np.float32)) * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -125,16 +141,33 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spherical k-means from farthest-first seeds."""
-    centers = [x[rng.integers(len(x))]]
-    while len(centers) < min(k, len(x)):
-        centers.append(x[(x @ np.array(centers).T).max(axis=1).argmin()])
-    c = np.array(centers)
-    for _ in range(15):
-        mine = (x @ c.T).argmax(axis=1)
-        sums = np.array([x[mine == i].sum(axis=0) if (mine == i).any() else c[i] for i in range(len(c))])
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return c
+    """Spherical k-means; a cluster of less than ``LEAST_SHARE`` of the texts starts again amid the largest.
+
+    Seeds are drawn by their distance from those before; of ``STARTS`` starts the
+    closest fit counts. Odd texts alone make no centroid: clusters that stay too
+    small are left out.
+    """
+    best, fit_ = None, -np.inf
+    least = LEAST_SHARE * len(x)
+    for _ in range(STARTS):
+        c = x[rng.integers(len(x), size=1)]
+        while len(c) < min(k, len(x)):
+            apart = np.maximum(1 - (x @ c.T).max(axis=1), 1e-9)
+            c = np.concatenate([c, x[rng.choice(len(x), p=apart / apart.sum(), size=1)]])
+        for turn in range(15):
+            mine = (x @ c.T).argmax(axis=1)
+            sizes = np.bincount(mine, minlength=len(c))
+            sums = np.array([x[mine == i].sum(axis=0) for i in range(len(c))])
+            for i in np.flatnonzero(sizes < least) if turn < 10 else ():
+                sums[i] = x[rng.choice(np.flatnonzero(mine == sizes.argmax()))]
+            c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        near = x @ c.T
+        sizes = np.bincount(near.argmax(axis=1), minlength=len(c))
+        kept = sizes >= least if (sizes >= least).any() else sizes == sizes.max()
+        value = near[:, kept].max(axis=1).sum()
+        if value > fit_:
+            best, fit_ = c[kept], value
+    return best
 
 
 def _sample(rows: DataFrame, sample: int) -> list[tuple[str, int, np.ndarray]]:
@@ -229,7 +262,9 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", into
     """``docs`` with a struct column ``into``: ``lang string, score double, rejected boolean``.
 
     Null texts and texts without a letter are ``und``, score 0, rejected. Ties
-    go to the language that sorts first. All other columns stay as they are.
+    go to the language that sorts first. All other columns stay as they are:
+    where ``docs`` has a column of the name, underscores are added to ``into``.
+    Repeated rows and ids are rows like others; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -240,4 +275,4 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", into
             names, scores, rejected = shared.value.predict(texts.where(texts.notna(), None).tolist())
             yield pd.DataFrame({"lang": names, "score": scores, "rejected": rejected})
 
-    return docs.withColumn(into, predict(F.col(text_col)))
+    return docs.withColumn(fresh(docs, into), predict(F.col(text_col)))

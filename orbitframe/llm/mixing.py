@@ -22,7 +22,8 @@ from orbitframe.llm.common import WORD, materialize, release, small_batches
 
 #: Documents of one source that share an error-feedback group, about.
 GROUP_DOCS = 1000
-MAX_STEPS = 40
+#: Steps before the solution counts as failed; the brackets halve at least every other step.
+MAX_STEPS = 120
 TOLERANCE = 1e-6
 
 
@@ -47,15 +48,33 @@ def mix_sources(
     target 0; rows with equal ids are separate documents that round in an
     order set by size and id, so equal rows are interchangeable; an empty table
     gives no rows. Columns other than the three named are ignored, but for those
-    in ``carry``, which go along.
+    in ``carry``, which go along; one named like a column of the result gets
+    underscores.
     """
+    if carry:
+        whole = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("mix_carried")
+        return _unpacked(_mixed(docs, weights, share, cap, id_col, text_col, source_col, [whole]), carry)
+    return _mixed(docs, weights, share, cap, id_col, text_col, source_col, [])
+
+
+def _unpacked(mixed: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    own = [c for c in mixed.columns if c != "mix_carried"]
+    names: list[str] = []
+    for c in carry:
+        while c.lower() in {x.lower() for x in own + names}:
+            c += "_"
+        names.append(c)
+    return mixed.select(*own, *[F.col("mix_carried").getField(c).alias(n) for c, n in zip(carry, names, strict=True)])
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, cap: int, id_col: str, text_col: str, source_col: str, more: list[Column]) -> DataFrame:
     picked = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        *carry,
+        *more,
     )
-    sized = picked if carry else materialize(picked, "mix-sizes")
+    sized = picked if more else materialize(picked, "mix-sizes")
     hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
     state = solve_rates(hist, source_targets(hist, weights, share, cap), cap)
     return round_copies(sized, state, cap)
@@ -104,7 +123,7 @@ def _rate(lam: Column, size: Column, scale: Column, cap: int) -> Column:
 
 
 def solve_rates(hist: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
-    """Newton on the dual, one multiplier per source, kept inside its bracket."""
+    """Newton on the dual, one multiplier per source, kept inside its bracket; it ends converged or with an error."""
     big = F.lit(float("inf"))
     state = materialize(targets.withColumns({"lam": F.lit(0.0), "low": -big, "high": big, "gap": big}), "mix-state")
     for _ in range(MAX_STEPS):
@@ -122,8 +141,8 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
         release(state)
         state = after
         if worst is None or worst <= TOLERANCE:
-            break
-    return state
+            return state
+    raise RuntimeError(f"mixing: a source is still off its target by {worst:.3g} of it after {MAX_STEPS} steps")
 
 
 def _newton(joined: DataFrame, cap: int) -> DataFrame:

@@ -118,7 +118,8 @@ def candidate_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int,
     """Cut positions in rising order, from 0 to ``total``, and the penalty of each."""
     firm = np.union1d(np.union1d(sentence_ends, doc_ends), [0, total])
     gaps = np.diff(firm)
-    inner = [np.arange(a + costs.grid, a + gap, costs.grid) for a, gap in zip(firm[:-1][gaps > 2 * costs.grid], gaps[gaps > 2 * costs.grid], strict=True)]
+    grid = min(costs.grid, max(1, window // 2))  # neighbours may not be further apart than a window
+    inner = [np.arange(a + grid, a + gap, grid) for a, gap in zip(firm[:-1][gaps > 2 * grid], gaps[gaps > 2 * grid], strict=True)]
     tail = np.arange(max(0, total - window), total)  # lets the rest fall into unpadded powers of two
     points = np.unique(np.concatenate([firm, tail, *inner]))
     penalty = np.full(len(points), costs.hard_cut)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import small_batches
+from orbitframe.llm.common import fresh, small_batches
 from orbitframe.llm.nn import F32, Adam, labelled_sample, sigmoid
 
 PASSAGE_WORDS = 64
@@ -190,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
 def score(docs: DataFrame, model: AttentionMil, text_col: str = "text", into: str = "quality_score") -> DataFrame:
     """``docs`` with a double column ``into`` from 0 to 1; null and empty texts are scored as one empty passage.
 
-    All passages of a text of any length count; other columns stay as they are.
+    All passages of a text of any length count; equal texts score alike, whatever
+    their ids; an empty table stays empty. Other columns stay as they are: where
+    ``docs`` has a column of the name, underscores are added to ``into``.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -202,4 +204,4 @@ def score(docs: DataFrame, model: AttentionMil, text_col: str = "text", into: st
             parts = [shared.value.score(all_texts[i : i + 256]) for i in range(0, len(all_texts), 256)]
             yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
-    return docs.withColumn(into, run(F.col(text_col)))
+    return docs.withColumn(fresh(docs, into), run(F.col(text_col)))

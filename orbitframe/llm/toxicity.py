@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import small_batches
+from orbitframe.llm.common import fresh, small_batches
 from orbitframe.llm.nn import F32, Adam, labelled_sample, sigmoid
 
 #: Labelled documents of each class that the fit sees, about, and the words it may keep: its documented bounds.
@@ -324,7 +324,9 @@ def score(docs: DataFrame, model: BiGru, text_col: str = "text", into: str = "to
     """``docs`` with a double column ``into`` from 0 to 1: the most toxic of all overlapping windows.
 
     Null, empty and wordless texts are one empty window; texts of any length
-    are read whole; other columns stay as they are.
+    are read whole; equal texts score alike, whatever their ids; an empty table
+    stays empty. Other columns stay as they are: where ``docs`` has a column of
+    the name, underscores are added to ``into``.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -335,4 +337,4 @@ def score(docs: DataFrame, model: BiGru, text_col: str = "text", into: str = "to
         for texts in batches:
             yield pd.Series(scorer.scores(texts.where(texts.notna(), None).tolist()))
 
-    return docs.withColumn(into, run(F.col(text_col)))
+    return docs.withColumn(fresh(docs, into), run(F.col(text_col)))

@@ -150,6 +150,8 @@ def test_mix_of_odd_rows(spark):
         mine = got[got["source"].isna()] if s is None else got[got["source"] == s]
         assert abs(mine["target"].iloc[0] - want[s]) < 1e-6 * max(want[s], 1)
         assert abs(mine["taken"].sum() - want[s]) <= 5
+    carried = mix_sources(df, carry=("lam", "size", "source"))
+    assert carried.columns[-3:] == ["lam", "size_", "source_"] and carried.first()["size_"] == "clash" and carried.count() == len(rows)
     out = mixed_rows(df)
     assert out.columns == df.columns and out.count() == got["copies"].sum()
 

@@ -108,6 +108,70 @@ def test_quality_of_odd_rows(spark):
     assert quality.fit(docs.limit(0), labels.limit(0)).score([None]).shape == (1,)
 
 
+def test_columns_of_the_same_name_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", 5)], "doc_id long, text string, mine int")
+    rng = np.random.default_rng(1)
+    made = toxicity.score(docs.withColumnRenamed("mine", "toxicity_score"), toxicity.BiGru.fresh({}, rng))
+    assert made.columns[-2:] == ["toxicity_score", "toxicity_score_"] and made.first()["toxicity_score"] == 5
+    made = quality.score(docs.withColumnRenamed("mine", "quality_score"), quality.train([], np.empty(0)))
+    assert made.columns[-2:] == ["quality_score", "quality_score_"] and made.first()["quality_score"] == 5
+
+
+def plain_sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def test_op8_equals_a_plain_forward_pass(spark, sf_dir):
+    """The score of every document, computed passage by passage with loops."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("key"), F.col("quality").alias("target"))
+    model = quality.fit(docs.withColumnRenamed("doc_id", "key"), labels)
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for doc_id, text in docs.collect():
+        hs, es = [], []
+        for x in quality.passages(text):
+            h = np.tanh(np.clip((x - model.mean) / model.spread, -8, 8) @ p["W"] + p["b"])
+            hs.append(h)
+            es.append((np.tanh(h @ p["V"]) * plain_sigmoid(h @ p["U"])) @ p["w"])
+        a = np.exp(np.array(es) - max(es))
+        z = (a / a.sum()) @ np.array(hs)
+        assert abs(got[doc_id] - plain_sigmoid(z @ p["c"] + p["d"][0])) < 1e-3
+
+
+def test_op3_equals_a_plain_forward_pass(spark, sf_dir):
+    """The score of every document, window by window and word by word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("length(text) < 4000").limit(150)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("key"), F.col("toxic").alias("target"))
+    model = toxicity.fit(docs.withColumnRenamed("doc_id", "key"), labels)
+    got = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score(docs, model).collect()}
+    p, n = {k: v.astype(float) for k, v in model.p.items()}, toxicity.HIDDEN
+
+    def run(xs, u):
+        h, out = np.zeros(n), []
+        for x in xs:
+            back = h @ u
+            z, r = plain_sigmoid(x[:n] + back[:n]), plain_sigmoid(x[n : 2 * n] + back[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * back[2 * n :])
+            out.append(h)
+        return out
+
+    for doc_id, text in docs.collect():
+        words = toxicity.words_of(text)
+        logits = []
+        for at in toxicity.windows_of(len(words)):
+            xs = list(model.inputs(words[at : at + toxicity.WINDOW]).astype(float))
+            if not xs:
+                logits.append(p["c"][0])
+                continue
+            f, b = run([x[: 3 * n] for x in xs], p["Uf"]), run([x[3 * n :] for x in xs][::-1], p["Ub"])[::-1]
+            hs = np.concatenate([np.array(f), np.array(b)], axis=1)
+            e = np.tanh(hs @ p["A"]) @ p["v"]
+            a = np.exp(e - e.max())
+            logits.append((a / a.sum()) @ hs @ p["o"] + p["c"][0])
+        assert abs(got[doc_id] - plain_sigmoid(max(logits))) < 2e-3
+
+
 def test_passages_cover_the_whole_text():
     bag = quality.passages("a " * 200)
     assert len(bag) == 4 and quality.passages(None).shape == (1, quality.FEATURES)

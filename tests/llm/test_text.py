@@ -179,7 +179,7 @@ def test_op2_is_an_exact_cover(spark, sf_dir):
     got = entries.QUERIES["op2_pack"](spark, sf_dir).toPandas()
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = dict(tuple(got.groupby("doc_id")))
-    for doc_id, text in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(300).collect():
+    for doc_id, text in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
         ids = np.array([*full.encode(text, add_special_tokens=False).ids, 0], "<u4")
         at = 0
         for row in pieces[doc_id].sort_values("start").itertuples():
@@ -203,6 +203,9 @@ def test_pack_of_odd_rows(spark, odd, nothing):
     assert got["length"].sum() == sum(len(i) for i in got["ids"])
     assert got[got["doc_id"] == 7]["length"].sum() == got[got["doc_id"] == 7]["doc_tokens"].iloc[0] > 50_000
     assert packing.pack_documents(nothing, *args).count() == 0
+    for window in (1, 16, 64, 96):
+        small = packing.pack_documents(odd.where("doc_id < 7").unionByName(odd.limit(1).withColumns({"doc_id": F.lit(8).cast("long"), "text": F.lit("word" * 700)})), *args, window=window).toPandas()
+        assert (small.groupby("sequence_id")["length"].sum() <= window).all() and small["length"].sum() == small.drop_duplicates("doc_id")["doc_tokens"].sum() + small[small["doc_id"] == 5]["doc_tokens"].iloc[0]
 
 
 def test_fast_route_gives_the_same_ids():
@@ -268,6 +271,26 @@ def test_language_of_odd_rows(spark, odd, nothing, sf_dir):
     assert langid.identify(odd, blank).first()["lang_found"]["lang"] == "und"
 
 
+def test_counts_of_long_texts_are_those_of_the_whole(monkeypatch):
+    text = "Ein Wort, noch  eins 12 und İ Σας\n" * 40 + "x" * 90 + " ende!"
+    whole = langid.gram_counts(text)
+    for piece in (1, 7, 50, 333):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        counts, total = langid.gram_counts(text)
+        assert total == whole[1] and (counts == whole[0]).all()
+
+
+def test_every_centroid_owns_a_share(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), "text", "lang")
+    model = langid.fit(docs)
+    rows = docs.where("lang is not null and text is not null").toPandas()
+    assert min(np.bincount(model.owner)) >= 2
+    for i, lang in enumerate(model.languages):
+        x, sizes = langid._vectors(rows[rows["lang"] == lang]["text"].tolist(), model.idf)
+        own = (x[sizes > 0] @ model.centroids[model.owner == i].T).argmax(axis=1)
+        assert (np.bincount(own, minlength=(model.owner == i).sum()) >= 0.03 * len(own)).all()
+
+
 def test_other_languages_and_junk_are_rejected(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
@@ -437,3 +460,33 @@ def test_op1_inverts_on_all_documents(spark, sf_dir):
 
 def test_fingerprint_needs_a_strict_majority():
     assert fingerprint("", 4) == [0] and fingerprint("one", 4) == [int(np.uint64(xxhash.xxh64_intdigest(b"one", 42)).view(np.int64))]
+
+
+def plain_grams(text):
+    """Buckets of the letter n-grams of a text, one at a time, in whole numbers of Python."""
+    low = 2**32 - 1
+    s = [ord(c) for c in " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "]
+    counts = np.zeros(langid.BUCKETS)
+    two = lambda i: (s[i] * 0x9E3779B1 + s[i + 1]) & low
+    grams = [(0, s[i]) for i in range(1, len(s) - 1)] + [(1, two(i)) for i in range(len(s) - 1)] + [(2, (two(i) * 0x85EBCA6B & low) ^ s[i + 2]) for i in range(len(s) - 2)]
+    for k, g in grams:
+        mixed = (g + k) * 0xC2B2AE35 & low
+        mixed ^= mixed >> 15
+        counts[(mixed * 0x27D4EB2F & low) >> 19] += 1
+    return counts
+
+
+def test_op5_equals_a_plain_nearest_centroid(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    got = {r["doc_id"]: r["lang_found"] for r in langid.identify(docs, model).collect()}
+    for doc_id, text in docs.where("length(text) between 1 and 1500").select("doc_id", "text").collect():
+        if not any(c.isalpha() for c in text):
+            assert (got[doc_id]["lang"], got[doc_id]["score"], got[doc_id]["rejected"]) == ("und", 0, True)
+            continue
+        x = np.log1p(plain_grams(text)) * model.idf
+        cosines = model.centroids @ (x / np.linalg.norm(x))
+        assert abs(got[doc_id]["score"] - min(max(cosines.max(), 0), 1)) < 1e-4
+        best = np.sort(cosines)[::-1]
+        if best[0] - best[1] > 1e-4:
+            assert got[doc_id]["lang"] == model.languages[model.owner[cosines.argmax()]]
