@@ -108,6 +108,13 @@ def apply_shifts(scenes: DataFrame, most: int = K.MAX_SHIFT_PIXELS) -> DataFrame
     return rows.withColumn("transform", P.affine_move(F.col("transform"), F.col("dcol"), F.col("drow"))).withColumn("status", status)
 
 
+def shift_summary(applied: DataFrame) -> DataFrame:
+    """Per city: scenes by status, refused shifts, and the largest that was applied."""
+    size = F.hypot(F.col("drow").cast("double"), F.col("dcol").cast("double"))
+    count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    return applied.groupBy("city").agg(F.count("*").alias("n_scenes"), count("shifted"), count("no_shift"), F.count_if("large_shift").alias("n_refused"), F.max(size).alias("most"))
+
+
 def needs_reprojection() -> Column:
     """Scenes whose grid is not the target's; an unknown one needs it too."""
     return ~F.col("epsg").eqNullSafe(F.lit(K.TARGET_EPSG))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +63,45 @@ def photometric(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         for _ in range(int(rng.integers(1, 9))):
             y, x = rng.integers(0, h), rng.integers(0, w)
             out[y : y + max(1, h // 16), x : x + max(1, w // 16)] = 0
+    out = out.astype(np.uint8)
     if rng.random() < 0.3:
-        out = np.clip(out + rng.uniform(-10, 10, 3).astype(np.float32), 0, 255)
-    return out.astype(np.uint8)
+        out = shift_hsv(out, *(rng.uniform(-limit, limit) for limit in HSV_LIMITS))
+    return out
+
+
+#: Largest shifts of hue (of 180), saturation and value (of 255).
+HSV_LIMITS = (10.0, 20.0, 10.0)
+
+
+def shift_hsv(image: np.ndarray, hue: float, saturation: float, value: float) -> np.ndarray:
+    """A byte image with its hue turned and its saturation and value moved; hue counts half degrees, the others bytes."""
+    rgb = image.astype(np.float64)
+    top, low = rgb.max(axis=2), rgb.min(axis=2)
+    span = np.where(top > low, top - low, 1)
+    lead = rgb.argmax(axis=2)
+    nxt, far = (np.take_along_axis(rgb, ((lead + k) % 3)[..., None], axis=2)[..., 0] for k in (1, 2))
+    sixth = np.where(top > low, 2 * lead + (nxt - far) / span, 0)
+    s = np.clip(np.where(top > 0, (top - low) / np.maximum(top, 1), 0) + saturation / 255, 0, 1)
+    v = np.clip(top + value, 0, 255)
+    sixth = (sixth + hue / 30) % 6
+    away = np.stack([(5 + sixth) % 6, (3 + sixth) % 6, (1 + sixth) % 6], axis=2)  # how far each band is from its own peak
+    part = np.clip(np.minimum(away, 4 - away), 0, 1)
+    return np.clip(np.rint(v[..., None] * (1 - s[..., None] * part)), 0, 255).astype(np.uint8)
+
+
+def photometric_patches(px: DataFrame, key: tuple[str, ...] = ("city", "month_idx", "prow", "pcol"), epoch: int = 0) -> DataFrame:
+    """``key, y, x, r, g, b`` after ``photometric``; the draws of a patch come from a hash of its key and the epoch."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"] - pdf["y"].min(), pdf["x"] - pdf["x"].min()
+        image = np.zeros((y.max() + 1, x.max() + 1, 3), np.uint8)
+        image[y, x] = pdf[list(K.BANDS)]
+        rng = np.random.default_rng(int(pdf["_seed"].iloc[0]) & (2**63 - 1))
+        return pdf[[*key, "y", "x"]].assign(**dict(zip(K.BANDS, photometric(image, rng)[y, x].T.astype(np.int32), strict=True)))
+
+    kinds = dict(px.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*key, "y", "x")) + ", r int, g int, b int"
+    return px.select(*key, "y", "x", *K.BANDS, F.xxhash64(F.lit(epoch), *key).alias("_seed")).groupBy(*key).applyInPandas(run, schema)
 
 
 def _blur(image: np.ndarray, size: int) -> np.ndarray:

@@ -99,44 +99,76 @@ def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
             return np.where(mask, label, -1)
 
 
+def _boxes(label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the components, their boxes ``(4, n)`` as first and last row, first and last column, and each pixel's place among the names."""
+    at = np.flatnonzero(label.ravel() >= 0)
+    names, place = np.unique(label.ravel()[at], return_inverse=True)
+    ys, xs = np.divmod(at, label.shape[1])
+    box = np.full((4, len(names)), max(label.shape))
+    box[1::2] = -1
+    for row, pick, values in ((0, np.minimum, ys), (1, np.maximum, ys), (2, np.minimum, xs), (3, np.maximum, xs)):
+        pick.at(box[row], place, values)
+    where = np.full(label.shape, -1)
+    where.ravel()[at] = place
+    return names, box, where
+
+
 def contact(mask: np.ndarray, radius: int = K.CONTACT_PX) -> np.ndarray:
-    """Where dilations of two components overlap, off the footprint, clipped to the rows or columns they share."""
-    out = np.zeros(mask.shape, bool)
-    label = components(mask)
-    names = [n for n in np.unique(label) if n >= 0]
+    """Background pixels within ``radius`` of two components, inside the rows the two share, or else the columns.
+
+    Each background pixel lists the components around it; only components that
+    meet in such a list are a pair, so the work grows with the rims and not with
+    the pairs of buildings.
+    """
+    height, width = mask.shape
+    names, box, where = _boxes(components(mask))
+    out = np.zeros(mask.size, bool)
     if len(names) < 2:
-        return out
-    box, wide = {}, {}
-    for n in names:
-        ys, xs = np.nonzero(label == n)
-        box[n] = (ys.min(), ys.max(), xs.min(), xs.max())
-        wide[n] = dilate(label == n, radius)
-    for i, p in enumerate(names):
-        for q in names[i + 1 :]:
-            a, b = box[p], box[q]
-            near = max(a[0], b[0]) - min(a[1], b[1]) <= 2 * radius and max(a[2], b[2]) - min(a[3], b[3]) <= 2 * radius
-            if not near:
-                continue
-            both = wide[p] & wide[q]
-            y0, y1, x0, x1 = max(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), min(a[3], b[3])
-            if y0 <= y1:
-                rows, cols = slice(y0, y1 + 1), slice(min(a[2], b[2]), max(a[3], b[3]) + 1)
-            elif x0 <= x1:
-                rows, cols = slice(min(a[0], b[0]), max(a[1], b[1]) + 1), slice(x0, x1 + 1)
-            else:
-                continue
-            out[rows, cols] |= both[rows, cols]
-    return out & ~mask.astype(bool)
+        return out.reshape(mask.shape)
+    padded = np.pad(where, radius, constant_values=-1)
+    free = np.flatnonzero(~mask.astype(bool).ravel())
+    ys, xs = np.divmod(free, width)
+    seen = []
+    for dy in range(2 * radius + 1):
+        for dx in range(2 * radius + 1):
+            found = padded[ys + dy, xs + dx]
+            hit = found >= 0
+            seen.append(free[hit] * len(names) + found[hit])
+    pixel, name = np.divmod(np.unique(np.concatenate(seen)), len(names))
+    apart = 1
+    while len(at := np.flatnonzero(pixel[apart:] == pixel[:-apart])):
+        p, q, y, x = box[:, name[at]], box[:, name[at + apart]], *np.divmod(pixel[at], width)
+        inner = np.where([[True], [False], [True], [False]], np.maximum(p, q), np.minimum(p, q))
+        outer = np.where([[True], [False], [True], [False]], np.minimum(p, q), np.maximum(p, q))
+        rows_shared, cols_shared = inner[0] <= inner[1], inner[2] <= inner[3]
+        within = lambda v, b: (b[0] <= v) & (v <= b[1])
+        beside = rows_shared & within(y, inner[:2]) & within(x, outer[2:])
+        above = ~rows_shared & cols_shared & within(x, inner[2:]) & within(y, outer[:2])
+        out[pixel[at][beside | above]] = True
+        apart += 1
+    return out.reshape(height, width)
 
 
 def squared_distance(mask: np.ndarray) -> np.ndarray:
-    """Exact squared distance of every pixel to the nearest background pixel; huge if there is none."""
+    """Exact squared distance of every pixel to the nearest background pixel; huge if there is none.
+
+    Columns first, by the last background pixel above and below; then rows, by
+    steps aside as far as they can still come nearer.
+    """
     far = 4 * (mask.shape[0] + mask.shape[1]) ** 2
-    rows = np.arange(mask.shape[0])
-    cost = np.where(mask.astype(bool), far, 0)
-    down = np.minimum((cost[None, :, :] + ((rows[:, None] - rows[None, :]) ** 2)[:, :, None]).min(axis=1), far)
-    cols = np.arange(mask.shape[1])
-    return np.minimum((down[:, None, :] + ((cols[:, None] - cols[None, :]) ** 2)[None]).min(axis=2), far)
+    foot = mask.astype(bool)
+    rows = np.arange(mask.shape[0])[:, None]
+    gone = 4 * mask.shape[0] + 4 * mask.shape[1]
+    above = rows - np.maximum.accumulate(np.where(foot, -gone, rows), axis=0)
+    below = np.minimum.accumulate(np.where(foot, gone, rows)[::-1], axis=0)[::-1] - rows
+    down = np.minimum(np.minimum(above, below).astype(np.int64) ** 2, far)
+    out = down.copy()
+    for step in range(1, mask.shape[1]):
+        if step * step >= out.max(initial=0):
+            break
+        np.minimum(out[:, step:], down[:, :-step] + step * step, out=out[:, step:])
+        np.minimum(out[:, :-step], down[:, step:] + step * step, out=out[:, :-step])
+    return out
 
 
 def peaks(distance: np.ndarray, apart: int = K.PEAK_DISTANCE) -> np.ndarray:

@@ -13,6 +13,8 @@ from orbitframe.functions import constants as K
 from orbitframe.operators import kernels
 
 SCENE = ("city", "month_idx")
+#: Labels are made patch by patch: what lies in the next patch neither erodes nor connects.
+PATCH = (*SCENE, "prow", "pcol")
 
 
 def scale_ring(ring: Column, by: float) -> Column:
@@ -83,14 +85,14 @@ def _frame(by: tuple[str, ...], order: str, radius: int) -> Window:
     return Window.partitionBy(*by).orderBy(order).rangeBetween(-radius, radius)
 
 
-def boundary(px: DataFrame, radius: int = K.BOUNDARY_PX) -> DataFrame:
-    """``px`` with ``boundary``: footprint off its square erosion; frames ignore what is outside, so borders do not erode."""
-    along = px.withColumn("_m", F.min("footprint").over(_frame((*SCENE, "y"), "x", radius)))
-    eroded = along.withColumn("_e", F.min("_m").over(_frame((*SCENE, "x"), "y", radius)))
+def boundary(px: DataFrame, radius: int = K.BOUNDARY_PX, key: tuple[str, ...] = PATCH) -> DataFrame:
+    """``px`` with ``boundary``: footprint off its square erosion; frames ignore what is outside, so borders of a patch do not erode."""
+    along = px.withColumn("_m", F.min("footprint").over(_frame((*key, "y"), "x", radius)))
+    eroded = along.withColumn("_e", F.min("_m").over(_frame((*key, "x"), "y", radius)))
     return eroded.withColumn("boundary", F.col("footprint") * (1 - F.col("_e"))).drop("_m", "_e")
 
 
-def per_patch(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], out: str, value: str = "footprint", key: tuple[str, ...] = SCENE) -> DataFrame:
+def per_patch(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], out: str, value: str = "footprint", key: tuple[str, ...] = PATCH) -> DataFrame:
     """A numpy kernel over each patch's dense ``value``; one task holds one patch, whose size is bounded by the tiling."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,21 +106,39 @@ def per_patch(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], out: st
     return px.select(*key, "y", "x", value).groupBy(*key).applyInPandas(run, schema)
 
 
-def component_labels(px: DataFrame, diagonal: bool = True) -> DataFrame:
-    """``label``: the smallest flat index of a pixel's component, -1 off the footprint."""
-    return per_patch(px, lambda m: kernels.components(m, diagonal), "label")
+def component_labels(px: DataFrame, diagonal: bool = True, key: tuple[str, ...] = PATCH) -> DataFrame:
+    """``label``: the smallest flat index, in its patch, of a pixel's component; -1 off the footprint."""
+    return per_patch(px, lambda m: kernels.components(m, diagonal), "label", key=key)
 
 
-def contact(px: DataFrame, radius: int = K.CONTACT_PX) -> DataFrame:
-    return per_patch(px, lambda m: kernels.contact(m, radius), "contact")
+def contact(px: DataFrame, radius: int = K.CONTACT_PX, key: tuple[str, ...] = PATCH) -> DataFrame:
+    return per_patch(px, lambda m: kernels.contact(m, radius), "contact", key=key)
 
 
-def watershed(px: DataFrame, apart: int = K.PEAK_DISTANCE, split: bool = False) -> DataFrame:
+def watershed(px: DataFrame, apart: int = K.PEAK_DISTANCE, split: bool = False, key: tuple[str, ...] = PATCH) -> DataFrame:
     """``watershed`` 0/1 of components with an interior peak, or, with ``split``, a label per building."""
-    return per_patch(px, lambda m: kernels.watershed_split(m, apart) if split else kernels.watershed_keep(m, apart), "watershed")
+    return per_patch(px, lambda m: kernels.watershed_split(m, apart) if split else kernels.watershed_keep(m, apart), "watershed", key=key)
 
 
-def fbc(px: DataFrame) -> DataFrame:
-    """Footprint, boundary and contact channels of each pixel."""
-    key = [*SCENE, "y", "x"]
-    return boundary(px).join(contact(px), key).select(*key, "footprint", "boundary", "contact")
+def fbc(px: DataFrame, key: tuple[str, ...] = PATCH) -> DataFrame:
+    """Footprint, boundary and contact channels of each pixel, in one pass over a patch."""
+    at = [*key, "y", "x"]
+    return boundary(px, key=key).join(contact(px, key=key), at).select(*at, "footprint", "boundary", "contact")
+
+
+def present_sidecars(sidecars: DataFrame, patches: DataFrame) -> DataFrame:
+    """``sidecars`` with ``present``: whether the patch they describe exists; masks are made for those only."""
+    have = patches.select(*PATCH).distinct().withColumn("_there", F.lit(True))
+    return sidecars.join(have, list(PATCH), "left").withColumn("present", F.col("_there").isNotNull()).drop("_there")
+
+
+def mask_summary(flagged: DataFrame, footprints: DataFrame) -> DataFrame:
+    """Per city: sidecars, missing patches, masks to write, and how many of them are empty (no building pixel)."""
+    filled = footprints.where("footprint = 1").select(*PATCH).distinct().withColumn("_full", F.lit(True))
+    rows = flagged.join(filled, list(PATCH), "left")
+    return rows.groupBy("city").agg(
+        F.count("*").alias("n_sidecars"),
+        F.count_if(~F.col("present")).alias("n_missing"),
+        F.count_if("present").alias("n_written"),
+        F.count_if(F.col("present") & F.col("_full").isNull()).alias("n_empty"),
+    )

@@ -43,6 +43,29 @@ def best_threshold(swept: DataFrame, default: float = K.TRAIN_THRESHOLD) -> Data
     return top.select(F.coalesce("b.threshold", F.lit(default)).alias("threshold"), F.coalesce("b.f1", F.lit(0.0)).alias("f1"))
 
 
+def evaluation(seg: DataFrame, change: DataFrame, seg_threshold: float = K.SEG_THRESHOLD, change_threshold: float = K.CHANGE_THRESHOLD) -> DataFrame:
+    """One row of test scores: IoU, F1, precision and recall of the last month's footprint and of the change, over all pixels.
+
+    Both inputs are ``z`` (logit) and ``y``. A ratio has its epsilon below the bar only.
+    """
+    names = ("iou", "f1", "precision", "recall")
+    one = lambda pred, t, head: ratios(confusion(pred, (t,)), both=False).select(*[F.col(n).alias(f"{head}_{n}") for n in names])
+    return one(seg, seg_threshold, "seg").crossJoin(one(change, change_threshold, "chg"))  # one row each
+
+
+def validation(losses: DataFrame, change: DataFrame, footprint: DataFrame, threshold: float = K.TRAIN_THRESHOLD) -> DataFrame:
+    """One row of a validation pass: the mean of the batches' ``loss``, and IoU and F1 of change and footprint."""
+    one = lambda pred, head: ratios(confusion(pred, (threshold,))).select(F.col("iou").alias(f"{head}_iou"), F.col("f1").alias(f"{head}_f1"))
+    loss = losses.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
+    return loss.crossJoin(one(change, "change")).crossJoin(one(footprint, "seg"))  # one row each
+
+
+def last_epochs(history: DataFrame, n: int, order: str = "epoch", by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """The last ``n`` epochs of each run."""
+    w = Window.partitionBy(*by).orderBy(F.desc(order))
+    return history.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
 def softplus_negative(z: Column) -> Column:
     """``log(1 + exp(-z))`` without overflow."""
     return F.log1p(F.exp(-F.abs(z))) + F.greatest(-z, F.lit(0.0))

@@ -7,9 +7,11 @@ rerun resumes; a city that fails leaves an error row and the others go on.
 
 from __future__ import annotations
 
+import logging
 import time
 import traceback
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,35 +56,85 @@ def remaining_time(log: DataFrame, cities: int, workers: int) -> DataFrame:
     )
 
 
-def run_cities(spark: SparkSession, steps: list[Step], cities: list[str], out_dir: str, first: int = 1, last: int | None = None) -> DataFrame:
+class CityLog(logging.LoggerAdapter):
+    """Messages with the city in front."""
+
+    def __init__(self, city: str, to: str = "orbitframe"):
+        super().__init__(logging.getLogger(to), {})
+        self._city = city
+
+    def process(self, msg, kwargs):
+        return f"[{self._city}] {msg}", kwargs
+
+
+def outputs_of(spark: SparkSession, steps: list[Step], out_dir: str) -> DataFrame:
+    """``city, step, n_out``: rows that each step has written for each city; folders without a finish mark count for nothing."""
+    parts = []
+    for step in steps:
+        at = f"{out_dir}/{step.name}"
+        done = [p for p in _children(spark, at) if _stands(spark, p)]
+        if done:
+            city = F.regexp_extract(F.col("_metadata.file_path"), r"/city=([^/]+)/[^/]*$", 1)
+            parts.append(spark.read.parquet(*done).groupBy(city.alias("city")).agg(F.count("*").alias("n_out")).withColumn("step", F.lit(step.number)))
+    out = spark.createDataFrame([], "city string, step int, n_out long")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def run_cities(
+    spark: SparkSession, steps: list[Step], cities: list[str], out_dir: str, first: int = 1, last: int | None = None, workers: int = 1, wanted: DataFrame | None = None
+) -> DataFrame:
     """Runs the steps of each city into ``out_dir/step/city=...`` and returns the log.
 
-    A step whose output stands is skipped; a failure ends its city only. Step
-    numbers beyond the range are refused.
+    ``workers`` cities run side by side as jobs of one session; the steps of a
+    city follow one another. A step whose output stands is skipped; with
+    ``wanted`` (``city, n_scenes``) it must also hold a row for every scene
+    (``pending``). A failure ends its city only. Step numbers beyond the range
+    and fewer than one worker are refused.
     """
     last = last if last is not None else max(s.number for s in steps)
     if not 1 <= first <= last <= max(s.number for s in steps):
         raise ValueError(f"steps {first} to {last} are not within 1 to {max(s.number for s in steps)}")
-    rows = []
-    for city in cities:
-        for step in (s for s in steps if first <= s.number <= last):
+    if workers < 1:
+        raise ValueError("at least one worker is needed")
+    chosen = [s for s in steps if first <= s.number <= last]
+    todo = None
+    if wanted is not None:
+        left = pending(wanted.select("city", "n_scenes"), outputs_of(spark, chosen, out_dir), max(s.number for s in steps))
+        todo = {(r["city"], r["step"]) for r in left.collect()}  # one row a city and step
+
+    def run(city: str) -> list[tuple]:
+        rows, log = [], CityLog(city)
+        for step in chosen:
             began, at = time.time(), f"{out_dir}/{step.name}/city={city}"
             status, error = "ok", None
             try:
-                if _stands(spark, at):
+                if _stands(spark, at) and (todo is None or (city, step.number) not in todo):
                     status = "skipped"
                 else:
                     step.run(spark, city).write.mode("overwrite").parquet(at)
             except Exception:  # the city's own failure; the others go on
                 status, error = "failed", traceback.format_exc(limit=1)[-500:]
             rows.append((city, step.number, step.name, status, error, time.time() - began, None))
+            log.log(logging.ERROR if error else logging.INFO, "step %d %s: %s in %.1f s", step.number, step.name, status, time.time() - began)
             if status == "failed":
                 break
+        return rows
+
+    with ThreadPoolExecutor(min(workers, max(1, len(cities)))) as pool:
+        rows = [row for part in pool.map(run, cities) for row in part]
     log = spark.createDataFrame(rows, LOG).withColumn("ts", F.current_timestamp())
     log.write.mode("append").parquet(f"{out_dir}/run_log")
     return log
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().toString() for f in files.listStatus(at)] if files.exists(at) else []
+
+
 def _stands(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -443,88 +443,133 @@ def _footprint(spark, sf_dir):
     return S.pixels(spark, sf_dir).select("city", "month_idx", "y", "x", (F.col("r") >= 140).cast("int").alias("footprint"))
 
 
-@_query(
-    """
-select a.city, a.month_idx, a.y, a.x, a.footprint * (1 - min(b.footprint)) as boundary from fp a join fp b
-  on b.city = a.city and b.month_idx = a.month_idx and b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2
-group by a.city, a.month_idx, a.y, a.x, a.footprint""",
-    PX,
-    _FP,
-)
-def boundary_mask(spark, sf_dir):
-    return labels.boundary(_footprint(spark, sf_dir)).select("city", "month_idx", "y", "x", "boundary")
+def _patched(spark, sf_dir, size: int) -> DataFrame:
+    return tile.chip(_footprint(spark, sf_dir), size)
+
+
+def _fp_by(size: int) -> str:
+    return f"""fp as materialized (
+  select city, month_idx, y // {size} as prow, x // {size} as pcol, y, x, case when r >= 140 then 1 else 0 end as footprint from px)"""
 
 
-def _reach(steps: str) -> str:
+_AT = ["city", "month_idx", "prow", "pcol", "y", "x"]
+_ROW = "cast({0}.prow as int) as prow, cast({0}.pcol as int) as pcol"
+_SAME = "{0}.city = {1}.city and {0}.month_idx = {1}.month_idx and {0}.prow = {1}.prow and {0}.pcol = {1}.pcol"
+
+
+def _reach(steps: str, size: int) -> str:
+    """Pixels that reach each other inside a patch, by union-find's plain form."""
     return f"""
-reach(city, month_idx, k, j) as (
-  select city, month_idx, y * 16 + x, y * 16 + x from fp where footprint = 1
+reach(city, month_idx, prow, pcol, k, j) as (
+  select city, month_idx, prow, pcol, y * 16 + x, y * 16 + x from fp where footprint = 1
   union
-  select r.city, r.month_idx, r.k, f.y * 16 + f.x from reach r join fp f on f.city = r.city and f.month_idx = r.month_idx and f.footprint = 1 and {steps}),
-comp as materialized (select city, month_idx, k // 16 as y, k % 16 as x, min(j) as label from reach group by city, month_idx, k)"""
+  select r.city, r.month_idx, r.prow, r.pcol, r.k, f.y * 16 + f.x from reach r join fp f on {_SAME.format("f", "r")} and f.footprint = 1 and {steps}),
+comp as materialized (
+  select city, month_idx, prow, pcol, k // 16 as y, k % 16 as x, min(j) // 16 % {size} * {size} + min(j) % 16 % {size} as label from reach group by city, month_idx, prow, pcol, k)"""
 
 
 _EIGHT = "abs(f.y - r.j // 16) <= 1 and abs(f.x - r.j % 16) <= 1"
 _FOUR = "abs(f.y - r.j // 16) + abs(f.x - r.j % 16) <= 1"
 
 
-@_query(
-    "select f.city, f.month_idx, f.y, f.x, cast(coalesce(label, -1) as bigint) as label from fp f left join comp using (city, month_idx, y, x) /* recursive */",
-    PX,
-    _FP,
-    _reach(_EIGHT),
-)
-def components(spark, sf_dir):
-    return labels.component_labels(_footprint(spark, sf_dir))
+def _label_queries(size: int, tail: str) -> None:
+    """The label channels of patches of ``size`` pixels."""
+    views = (PX, _fp_by(size))
 
+    def add(name: str, run, oracle: str, *more: str) -> None:
+        def query(spark, sf_dir):
+            return run(_patched(spark, sf_dir, size))
 
-@_query(
-    """/* recursive */
-select f.city, f.month_idx, f.y, f.x, cast(max(case when c.y is null then 0 else 1 end) as bigint) as contact from fp f left join clipped c using (city, month_idx, y, x) group by all""",
-    PX,
-    _FP,
-    _reach(_EIGHT),
-    """
+        query.__name__ = name + tail
+        _query(oracle, *views, *more)(query)
+
+    add(
+        "boundary_mask",
+        lambda px: labels.boundary(px).select(*_AT, "boundary"),
+        f"""
+select a.city, a.month_idx, {_ROW.format("a")}, a.y, a.x, a.footprint * (1 - min(b.footprint)) as boundary from fp a join fp b
+  on {_SAME.format("a", "b")} and b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2
+group by a.city, a.month_idx, a.prow, a.pcol, a.y, a.x, a.footprint""",
+    )
+    add(
+        "components",
+        labels.component_labels,
+        f"select f.city, f.month_idx, {_ROW.format('f')}, f.y, f.x, cast(coalesce(label, -1) as bigint) as label from fp f left join comp using (city, month_idx, prow, pcol, y, x) /* recursive */",
+        _reach(_EIGHT, size),
+    )
+    add(
+        "contact_mask",
+        labels.contact,
+        f"""/* recursive */
+select f.city, f.month_idx, {_ROW.format("f")}, f.y, f.x, cast(max(case when c.y is null then 0 else 1 end) as bigint) as contact
+from fp f left join clipped c using (city, month_idx, prow, pcol, y, x) group by all""",
+        _reach(_EIGHT, size),
+        f"""
 wide as materialized (
-  select distinct c.city, c.month_idx, c.label, f.y, f.x from comp c join fp f on f.city = c.city and f.month_idx = c.month_idx and f.y between c.y - 3 and c.y + 3 and f.x between c.x - 3 and c.x + 3),
-box as (select city, month_idx, label, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from comp group by all),
+  select distinct c.city, c.month_idx, c.prow, c.pcol, c.label, f.y, f.x from comp c join fp f on {_SAME.format("f", "c")} and f.y between c.y - 3 and c.y + 3 and f.x between c.x - 3 and c.x + 3),
+box as (select city, month_idx, prow, pcol, label, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from comp group by all),
 clipped as (
-  select distinct a.city, a.month_idx, a.y, a.x
-  from wide a join wide b using (city, month_idx, y, x) join box p on p.city = a.city and p.month_idx = a.month_idx and p.label = a.label
-  join box q on q.city = a.city and q.month_idx = a.month_idx and q.label = b.label join fp f on f.city = a.city and f.month_idx = a.month_idx and f.y = a.y and f.x = a.x
+  select distinct a.city, a.month_idx, a.prow, a.pcol, a.y, a.x
+  from wide a join wide b using (city, month_idx, prow, pcol, y, x) join box p on {_SAME.format("p", "a")} and p.label = a.label
+  join box q on {_SAME.format("q", "a")} and q.label = b.label join fp f on {_SAME.format("f", "a")} and f.y = a.y and f.x = a.x
   where a.label < b.label and f.footprint = 0 and case
     when greatest(p.y0, q.y0) <= least(p.y1, q.y1)
     then a.y between greatest(p.y0, q.y0) and least(p.y1, q.y1) and a.x between least(p.x0, q.x0) and greatest(p.x1, q.x1)
     else a.x between greatest(p.x0, q.x0) and least(p.x1, q.x1) and a.y between least(p.y0, q.y0) and greatest(p.y1, q.y1) end)""",
-)
-def contact_mask(spark, sf_dir):
-    return labels.contact(_footprint(spark, sf_dir))
+    )
+    add(
+        "watershed_keep",
+        labels.watershed,
+        f"""/* recursive */
+select f.city, f.month_idx, {_ROW.format("f")}, f.y, f.x,
+       cast(case when c.label is not null and (c.city, c.month_idx, c.prow, c.pcol, c.label) in (select (city, month_idx, prow, pcol, label) from seed) then 1 else 0 end as bigint) as watershed
+from fp f left join comp c using (city, month_idx, prow, pcol, y, x)""",
+        _reach(_FOUR, size),
+        f"""
+near as (
+  select f.city, f.month_idx, f.prow, f.pcol, f.y, f.x, min((f.y - z.y) * (f.y - z.y) + (f.x - z.x) * (f.x - z.x)) as d
+  from fp f join fp z on {_SAME.format("z", "f")} and z.footprint = 0 group by all),
+edt as materialized (
+  select f.city, f.month_idx, f.prow, f.pcol, f.y, f.x, case when f.footprint = 0 then 0 else coalesce(d, 9999) end as d from fp f left join near using (city, month_idx, prow, pcol, y, x)),
+peak as (
+  select a.city, a.month_idx, a.prow, a.pcol, a.y, a.x from edt a join edt b on {_SAME.format("b", "a")} and b.y between a.y - 3 and a.y + 3 and b.x between a.x - 3 and a.x + 3
+  where a.y % {size} between 3 and {size - 4} and a.x % {size} between 3 and {size - 4} group by a.city, a.month_idx, a.prow, a.pcol, a.y, a.x, a.d having a.d > 0 and a.d = max(b.d)),
+seed as materialized (select distinct city, month_idx, prow, pcol, label from peak join comp using (city, month_idx, prow, pcol, y, x))""",
+    )
+
+
+# Patches of the surrogate's size, and larger ones, which have an interior for peaks.
+_label_queries(S.PATCH, "")
+_label_queries(S.LABEL_PATCH, "_wide")
+
+
+@_query(None)
+def watershed_split(spark, sf_dir):
+    """A label for each building, touching ones divided."""
+    return labels.watershed(_patched(spark, sf_dir, S.LABEL_PATCH), split=True)
 
 
 @_query(
-    """/* recursive */
-select f.city, f.month_idx, f.y, f.x, cast(case when c.label is not null and (c.city, c.month_idx, c.label) in (select (city, month_idx, label) from seed) then 1 else 0 end as bigint) as watershed
-from fp f left join comp c using (city, month_idx, y, x)""",
-    PX,
-    _FP,
-    _reach(_FOUR),
     """
-edt as materialized (
-  select f.city, f.month_idx, f.y, f.x, case when f.footprint = 0 then 0 else min((f.y - z.y) * (f.y - z.y) + (f.x - z.x) * (f.x - z.x)) end as d
-  from fp f join fp z on z.city = f.city and z.month_idx = f.month_idx and z.footprint = 0 group by f.city, f.month_idx, f.y, f.x, f.footprint),
-peak as (
-  select a.city, a.month_idx, a.y, a.x from edt a join edt b on b.city = a.city and b.month_idx = a.month_idx and b.y between a.y - 3 and a.y + 3 and b.x between a.x - 3 and a.x + 3
-  where a.y between 3 and 12 and a.x between 3 and 12 group by a.city, a.month_idx, a.y, a.x, a.d having a.d > 0 and a.d = max(b.d)),
-seed as materialized (select distinct city, month_idx, label from peak join comp using (city, month_idx, y, x))""",
+select city, count(*) as n_sidecars, count(*) filter (not present) as n_missing, count(*) filter (present) as n_written, count(*) filter (present and not filled) as n_empty
+from (select p.city, p.n_transparent * 4 < p.n_px as present, max(footprint) = 1 as filled
+      from patches p join fp using (city, month_idx, prow, pcol) group by p.city, p.month_idx, p.prow, p.pcol, p.n_transparent, p.n_px)
+group by city""",
+    PX,
+    _PATCHES,
+    _fp_by(S.PATCH),
 )
-def watershed_keep(spark, sf_dir):
-    return labels.watershed(_footprint(spark, sf_dir))
+def mask_summary(spark, sf_dir):
+    """Sidecars whose patch exists get masks; the others are counted."""
+    patches = _patches(spark, sf_dir)
+    flagged = labels.present_sidecars(patches.select(*tile.PATCH), patches.where("n_transparent * 4 < n_px"))
+    return labels.mask_summary(flagged, _patched(spark, sf_dir, S.PATCH))
 
 
 @_query(None)
-def watershed_split(spark, sf_dir):
-    """A label for each building, touching ones divided."""
-    return labels.watershed(_footprint(spark, sf_dir), split=True)
+def photometric_patches(spark, sf_dir):
+    """Every patch under drawn brightness, noise, gamma, blur, dropout and colour."""
+    return augment.photometric_patches(tile.chip(S.pixels(spark, sf_dir), S.LABEL_PATCH))
 
 
 # -------------------------------------------------------------- alignment
@@ -544,6 +589,10 @@ select city, month_idx, drow, dcol, large_shift, city * 1000.5 + dcol * 1.25::do
     _SHIFTS,
 )
 def shift_apply(spark, sf_dir):
+    return _shifted(spark).select("city", "month_idx", "drow", "dcol", "large_shift", F.col("transform.c").alias("c"), F.col("transform.f").alias("f"), "status")
+
+
+def _shifted(spark) -> DataFrame:
     first = F.col("month_idx") == 0
     rows = tile.scene_transform(S.scenes(spark)).withColumns(
         {
@@ -551,7 +600,18 @@ def shift_apply(spark, sf_dir):
             "dcol": F.when(first, 0).otherwise((F.col("city") * 3 + F.col("month_idx") * 11) % 45 - 22),
         }
     )
-    return align.apply_shifts(rows).select("city", "month_idx", "drow", "dcol", "large_shift", F.col("transform.c").alias("c"), F.col("transform.f").alias("f"), "status")
+    return align.apply_shifts(rows)
+
+
+@_query(
+    """
+select city, count(*) as n_scenes, count(*) filter (month_idx > 0 and (drow <> 0 or dcol <> 0)) as n_shifted, count(*) filter (month_idx > 0 and drow = 0 and dcol = 0) as n_no_shift,
+       count(*) filter (large_shift) as n_refused, round(max(sqrt(drow * drow + dcol * dcol)), 9) as most from shifted group by city""",
+    S.SCENES_SQL,
+    _SHIFTS,
+)
+def shift_summary(spark, sf_dir):
+    return align.shift_summary(_shifted(spark)).withColumn("most", F.round("most", 9))
 
 
 @_query("select p.city, p.month_idx, cast(t.i as int) as y, cast(u.i as int) as x, p.r from px p, range(24) t(i), range(24) u(i) where p.y = (2 * t.i + 1) * 16 // 48 and p.x = (2 * u.i + 1) * 16 // 48", PX)

@@ -82,6 +82,20 @@ def change_pixels(spark, sf_dir):
     return registry.change_pixels(_windows(spark), _footprint(spark, sf_dir)).select("city", "window_idx", "change_pixels", "has_change")
 
 
+@_query(
+    "select cast(w.city as int) as city, 0 as first_month, 13 as last_month, 13 as month_gap, cast(w.window_idx as int) as window_idx, array_to_string(range(m0, m1 + 1), ',') as window_months, change_pixels, change_pixels > 0 as has_change from win w join change using (city, window_idx) where w.city <> 3",
+    S.PIXELS_SQL,
+    _FP,
+    _WIN,
+    _CHANGE,
+)
+def full_registry(spark, sf_dir):
+    """Complete positions, gates, windows and change in one: city 3 has a month without a mask and drops out."""
+    patches = S.scenes(spark).select("city", "month_idx")
+    made = registry.build_registry(patches, patches.where("city <> 3 or month_idx <> 5"), _footprint(spark, sf_dir))
+    return made.select("city", "first_month", "last_month", "month_gap", "window_idx", F.array_join("window_months", ",").alias("window_months"), "change_pixels", "has_change")
+
+
 @_query(
     """
 select s.pos, array_to_string(list_sort(list(distinct s.month_idx)), ',') as months from series s
@@ -102,7 +116,7 @@ def stratified_epoch(spark, sf_dir):
     return registry.batches(sample, 8).select("place", "batch_idx", "pos", "window_idx", "cycle", "has_change")
 
 
-@_query("select has_change, least(n, case when has_change then 1400 else 600 end) as n_taken from (select (pos + i) % 5 <> 0 as has_change, count(*) as n from (select *, unnest(range(len(months) - 4)) as i from gated) group by 1)", S.SERIES_SQL, _MONTHS, _GATED)
+@_query("select has_change, case when has_change then 1400 else least(n, 600) end as n_taken from (select (pos + i) % 5 <> 0 as has_change, count(*) as n from (select *, unnest(range(len(months) - 4)) as i from gated) group by 1)", S.SERIES_SQL, _MONTHS, _GATED)
 def epoch_quotas(spark, sf_dir):
     windows = registry.sliding_windows(_gated(spark, sf_dir)).withColumn("has_change", (F.col("pos") + F.col("window_idx")) % 5 != 0)
     sample = registry.epoch_sample(windows, ("pos", "window_idx"), size=2000)
@@ -155,6 +169,49 @@ def best_threshold(spark, sf_dir):
     return _rounded(metrics.best_threshold(metrics.ratios(metrics.confusion(S.logits(spark, sf_dir), K.SWEEP))), "f1")
 
 
+_BARS = {
+    "iou": "({h}.tp + {top}) / ({h}.tp + {h}.fp + {h}.fn + 1e-6::double)",
+    "f1": "(2 * {h}.tp + {top}) / (2 * {h}.tp + {h}.fp + {h}.fn + 1e-6::double)",
+    "precision": "({h}.tp + {top}) / ({h}.tp + {h}.fp + 1e-6::double)",
+    "recall": "({h}.tp + {top}) / ({h}.tp + {h}.fn + 1e-6::double)",
+}
+
+
+def _counts_of(head: str, channel: int, threshold: float) -> str:
+    cut = f"{P.logit(threshold)!r}::double"
+    return f"{head} as (select count(*) filter (z > {cut} and y = 1) as tp, count(*) filter (z > {cut} and y = 0) as fp, count(*) filter (z <= {cut} and y = 1) as fn from logits where channel = {channel})"
+
+
+def _bars_of(head: str, names: tuple[str, ...], top: str) -> str:
+    return ", ".join(f"round({_BARS[n].format(h=head, top=top)}, 9) as {head}_{n}" for n in names)
+
+
+def _head(spark, sf_dir, channel: int):
+    return S.logits(spark, sf_dir).where(F.col("channel") == channel)
+
+
+@_query(f"select {_bars_of('seg', tuple(_BARS), '0.0::double')}, {_bars_of('chg', tuple(_BARS), '0.0::double')} from seg, chg", S.LOGITS_SQL, _counts_of("seg", 0, K.SEG_THRESHOLD), _counts_of("chg", 1, K.CHANGE_THRESHOLD))
+def evaluation_pass(spark, sf_dir):
+    """One row of test scores over all pixels of two heads."""
+    out = metrics.evaluation(_head(spark, sf_dir, 0), _head(spark, sf_dir, 1))
+    return _rounded(out, *out.columns)
+
+
+@_query(
+    f"select l.loss, {_bars_of('change', ('iou', 'f1'), '1e-6::double')}, {_bars_of('seg', ('iou', 'f1'), '1e-6::double')} from change, seg, (select round(avg(loss), 7) as loss from batch) l",
+    S.LOGITS_SQL,
+    _counts_of("change", 1, K.TRAIN_THRESHOLD),
+    _counts_of("seg", 0, K.TRAIN_THRESHOLD),
+    "batch as (select sample // 8 as batch, avg((1 - y) * z + ln(1 + exp(-abs(z))) + greatest(-z, 0.0::double)) as loss from logits group by 1)",
+)
+def validation_pass(spark, sf_dir):
+    """One row of a validation pass: mean loss of batches of eight, IoU and F1 of two heads."""
+    cross = metrics.bce(F.col("z"), F.col("y"), F.lit(1.0))
+    losses = S.logits(spark, sf_dir).groupBy(F.floor(F.col("sample") / 8).alias("batch")).agg(F.avg(cross).alias("loss"))
+    out = metrics.validation(losses, _head(spark, sf_dir, 1), _head(spark, sf_dir, 0))
+    return _rounded(out.withColumn("loss", F.round("loss", 7)), *out.columns[1:])
+
+
 _LOSS = """
 cross_ as (
   select channel, avg((1 - y) * z + (1 + (w - 1) * y) * (ln(1 + exp(-abs(z))) + greatest(-z, 0.0::double))) as bce

@@ -206,10 +206,17 @@ def write_scenes(scenes: DataFrame, path: str) -> DataFrame:
     return scenes.sparkSession.read.parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def discover_cities(spark: SparkSession, *paths: str, prefix: str = "") -> DataFrame:
     """Sorted names of the folders that hold scenes, from the first path that has any."""
     for path in paths:
         folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:[^/]+/)?[^/]+$", 1)
+        if not _exists(spark, path):
+            continue
         found = _files(spark, path, "*.tif").select(folder.alias("city")).where(F.col("city").startswith(prefix)).distinct().orderBy("city")
         if not found.isEmpty():
             return found

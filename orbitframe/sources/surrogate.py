@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 CITIES, MONTHS, SIDE = 5, 14, 16
 #: Parameters that fit 16 x 16 scenes cut into 4 x 4 patches.
+#: Patches of labels that need an interior are larger.
+LABEL_PATCH = 8
 PATCH, MIN_USABLE, MIN_PIF, MIN_LAB, SPECTRAL = 4, 60, 5, 10, 110.0
 
 
@@ -75,10 +77,10 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def polygons(spark: SparkSession, sf_dir: str, per_scene: int = 3) -> DataFrame:
-    """Quads with quarter-pixel corners: ``city, month_idx, poly_id, ring`` (array of points)."""
-    part = _table(spark, sf_dir, "part").where(F.col("p_partkey").between(1, CITIES * MONTHS * per_scene))
-    k = F.col("p_partkey") - 1
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads with quarter-pixel corners, one for every part: ``city, month_idx, poly_id, ring`` (array of points)."""
+    part = _table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
     cx, cy = (F.col("p_partkey") * 7 % 14 + 1), (F.col("p_partkey") * 11 % 14 + 1)
     w, h = (F.col("p_size") % 4 + 1), (F.floor(F.col("p_size") / 4) % 4 + 1)
     point = lambda x, y: F.struct((x).cast("double").alias("x"), (y).cast("double").alias("y"))
@@ -126,9 +128,9 @@ logits as (
 
 POLYGONS_SQL = f"""
 poly as (
-  select cast((p_partkey - 1) % {CITIES} as int) as city, cast(((p_partkey - 1) // {CITIES}) % {MONTHS} as int) as month_idx, p_partkey as poly_id,
+  select cast(p_partkey % {CITIES} as int) as city, cast((p_partkey // {CITIES}) % {MONTHS} as int) as month_idx, p_partkey as poly_id,
          p_partkey * 7 % 14 + 1 as cx, p_partkey * 11 % 14 + 1 as cy, p_size % 4 + 1 as w, (p_size // 4) % 4 + 1 as h
-  from part where p_partkey between 1 and {CITIES * MONTHS * 3}),
+  from part),
 ring as (
   select city, month_idx, poly_id, cast(i as int) as seq,
          cast(case i when 0 then cx - w + 0.25 when 1 then cx + w - 0.25 when 2 then cx + w + 0.25 when 3 then cx - w - 0.25 else cx - w + 0.25 end as double) as x,

@@ -1,6 +1,7 @@
 """Kernels on hand-made rasters, and their agreement with the expressions."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -82,6 +83,92 @@ def test_contact_of_two_buildings():
     assert not kernels.contact(single).any()
 
 
+def brute_contact(mask, radius):
+    """Pair by pair and pixel by pixel."""
+    label = kernels.components(mask)
+    spots = {n: np.argwhere(label == n) for n in np.unique(label) if n >= 0}
+    out = np.zeros(mask.shape, bool)
+    names = sorted(spots)
+    for p in names:
+        for q in names:
+            if p >= q:
+                continue
+            (a0, a1), (c0, c1) = (spots[p].min(axis=0)[0], spots[p].max(axis=0)[0]), (spots[p].min(axis=0)[1], spots[p].max(axis=0)[1])
+            (b0, b1), (d0, d1) = (spots[q].min(axis=0)[0], spots[q].max(axis=0)[0]), (spots[q].min(axis=0)[1], spots[q].max(axis=0)[1])
+            for y, x in np.argwhere(label < 0):
+                if np.abs(spots[p] - [y, x]).max(axis=1).min() > radius or np.abs(spots[q] - [y, x]).max(axis=1).min() > radius:
+                    continue
+                if max(a0, b0) <= min(a1, b1):
+                    out[y, x] |= max(a0, b0) <= y <= min(a1, b1) and min(c0, d0) <= x <= max(c1, d1)
+                elif max(c0, d0) <= min(c1, d1):
+                    out[y, x] |= max(c0, d0) <= x <= min(c1, d1) and min(a0, b0) <= y <= max(a1, b1)
+    return out
+
+
+@given(st.integers(0, 2**100 - 1), st.integers(1, 4))
+@settings(max_examples=80, deadline=None)
+def test_contact_equals_pairs(bits, radius):
+    rng = np.random.default_rng(bits)
+    mask = (rng.random((10, 11)) < rng.uniform(0.05, 0.5)).astype(int)
+    assert (kernels.contact(mask, radius) == brute_contact(mask, radius)).all()
+
+
+def test_labels_of_a_large_scene():
+    rng = np.random.default_rng(0)
+    small = rng.random((64, 64)) < 0.25
+    big = np.kron(small, np.ones((16, 16), int))
+
+    distance = kernels.squared_distance(big)
+    assert distance.max() < 4 * (2 * 1024) ** 2 and (distance > 0).sum() == big.sum()
+    found = kernels.contact(big, 9)
+    assert found.any() and not (found & big.astype(bool)).any()
+
+
+def test_groups_are_powers_of_two():
+    from orbitframe.operators import network
+
+    assert [network.groups_for(n) for n in (64, 48, 24, 6, 32)] == [32, 16, 8, 2, 32]
+    with pytest.raises(ValueError):
+        network.groups_for(7)
+
+
+def test_hue_saturation_value():
+    import colorsys
+
+    from orbitframe.operators import augment
+
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (9, 9, 3)).astype(np.uint8)
+    image[0] = [[10, 10, 10]] * 9
+    assert np.abs(augment.shift_hsv(image, 0, 0, 0).astype(int) - image).max() <= 1
+    got = augment.shift_hsv(image, 7.0, 15.0, -9.0)
+    for y in range(9):
+        for x in range(9):
+            h, s, v = colorsys.rgb_to_hsv(*(image[y, x] / 255.0))
+            want = colorsys.hsv_to_rgb((h + 7 / 180) % 1, min(max(s + 15 / 255, 0), 1), min(max(v - 9 / 255, 0), 1))
+            assert np.abs(got[y, x] - 255 * np.array(want)).max() <= 1.01
+
+
+def test_photometric_patches_follow_their_key(spark, sf_dir):
+    from orbitframe.operators import augment, tile
+
+    px = tile.chip(surrogate.pixels(spark, sf_dir).where("city < 2 and month_idx < 3"), 8)
+    made = augment.photometric_patches(px).orderBy("city", "month_idx", "y", "x").toPandas()
+    again = augment.photometric_patches(px.repartition(5)).orderBy("city", "month_idx", "y", "x").toPandas()
+    other = augment.photometric_patches(px, epoch=1).orderBy("city", "month_idx", "y", "x").toPandas()
+    assert made.equals(again) and not made.equals(other) and made[["r", "g", "b"]].stack().between(0, 255).all()
+
+
+def test_watershed_split_of_a_patch(spark, sf_dir):
+    """Every patch's labels: one for each peak's flood, kept components only."""
+    from orbitframe.plans import catalogue
+
+    rows = catalogue.QUERIES["watershed_split"](spark, sf_dir).toPandas()
+    keep = catalogue.QUERIES["watershed_keep_wide"](spark, sf_dir).toPandas()
+    both = rows.merge(keep, on=["city", "month_idx", "prow", "pcol", "y", "x"], suffixes=("", "_keep"))
+    assert len(both) == len(rows) and ((both["watershed"] > 0) == (both["watershed_keep"] > 0)).all()
+
+
 def test_border_does_not_erode():
     full = np.zeros((8, 8), int)
     full[:, :4] = 1

@@ -89,3 +89,43 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     got = {(r["pos"], r["window_idx"]): r["window_months"] for r in windows.latest(spark.table("w")).collect()}
     want = registry.sliding_windows(registry.position_months(rows)).select("pos", "window_idx", F.array_join("window_months", ",").alias("m"))
     assert got == {(r["pos"], r["window_idx"]): r["m"] for r in want.collect()}
+
+
+def test_parallel_cities_resume_by_counts(spark, tmp_path):
+    seen = []
+
+    def make(spark, city):
+        seen.append(city)
+        return spark.range(2 if city == "short" and seen.count("short") == 1 else 3)
+
+    steps = [orchestrate.Step(1, "one", make)]
+    out = f"file://{tmp_path}/out"
+    cities = ["a", "b", "c", "short"]
+    wanted = spark.createDataFrame([(c, 3) for c in cities], "city string, n_scenes long")
+    first = orchestrate.run_cities(spark, steps, cities, out, workers=3, wanted=wanted)
+    assert {r["status"] for r in first.collect()} == {"ok"} and sorted(seen) == cities
+    again = {r["city"]: r["status"] for r in orchestrate.run_cities(spark, steps, cities, out, workers=3, wanted=wanted).collect()}
+    assert again == {"a": "skipped", "b": "skipped", "c": "skipped", "short": "ok"}
+
+
+STEPS = [orchestrate.Step(1, "one", lambda spark, city: spark.range(1 // (city != "bad"))), orchestrate.Step(2, "two", lambda spark, city: spark.range(2))]
+
+
+def test_command_line(spark, tmp_path, caplog):
+    from orbitframe import cli
+
+    out = ["--out", f"file://{tmp_path}/out"]
+    assert cli.main(["tests.test_windows:STEPS", *out, "--cities", "a", "b"], spark) == 0
+    assert "[a] step 1 one: ok" in caplog.text or caplog.text == ""
+    assert cli.main(["tests.test_windows:STEPS", *out, "--cities", "a", "bad", "--workers", "2"], spark) == 1
+    assert cli.main(["tests.test_windows:STEPS", *out, "--cities"], spark) == 1
+    assert cli.main(["tests.test_windows:STEPS", *out, "--cities", "a", "--first", "2", "--last", "1"], spark) == 2
+    assert cli.main(["tests.test_windows:STEPS", *out, "--cities", "a", "--first", "7"], spark) == 2
+    assert cli.main(["tests.test_windows:STEPS", *out, "--cities", "a", "--workers", "0"], spark) == 2
+    assert cli.main(["tests.test_windows:STEPS", *out, "--raw", f"file://{tmp_path}/none"], spark) == 1
+
+
+def test_last_epochs(spark):
+    history = spark.createDataFrame([("r", e, 0.1) for e in range(5)] + [("s", 0, 0.2)], "run string, epoch int, loss double")
+    got = sorted((r["run"], r["epoch"]) for r in metrics.last_epochs(history, 2).collect())
+    assert got == [("r", 3), ("r", 4), ("s", 0)]
