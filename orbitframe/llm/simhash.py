@@ -34,6 +34,8 @@ CHUNK = 1 << 16
 FEW = 256
 #: Distinct shingles of a group that one task confirms with one another; larger groups are cut into tile pairs.
 GROUP = 500_000
+#: Bits of the filter that rows pass before they move to meet a table of keys: so many bits at every size, 4 MB.
+FILTER_BITS = 1 << 24
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -404,8 +406,29 @@ def _set_prints(picked: DataFrame, shingle: int, words: int) -> DataFrame:
     return picked.mapInArrow(run, "key binary, doc_id long, " + ", ".join(f"{w} long" for w in names) + ", set binary, n long")
 
 
+def key_plan(bits: int, bands: int, draws: int, distinct: int, jaccard: float) -> tuple[int, int]:
+    """Bands and draws for ``distinct`` sets: as given while buckets hold ``BUCKET`` unrelated ones at most, then wider keys.
+
+    Of wider keys there are as many more as a pair of similarity ``jaccard``
+    needs to be found with the same chance: its sets agree on a bit with the
+    chance ``1 - angle / pi`` of the angle of cosine ``2 j / (1 + j)``.
+    """
+    width = bits // bands
+    wide = max(width, int(np.ceil(np.log2(max(distinct, 1) / BUCKET))))
+    if wide == width:
+        return bands, draws
+    fewer = bits // wide
+    same = 1 - np.arccos(2 * jaccard / (1 + jaccard)) / np.pi
+    keys = bands * draws * np.log1p(-(same**width)) / np.log1p(-(same ** (bits // fewer)))
+    return fewer, int(np.ceil(keys / fewer))
+
+
 def _candidate_edges(prints: DataFrame, radius: int, bands: int, draws: int) -> DataFrame:
-    """``a, b``: spanning edges of ``node, w..`` (distinct nodes) whose fingerprints share a key and are within ``radius``."""
+    """``a, b``: spanning edges of ``node, w..`` (distinct nodes) whose fingerprints share a key and are within ``radius``.
+
+    Rows move once, to their buckets; only buckets beyond ``TILE`` are counted out
+    and cut.
+    """
     cols = [c for c in prints.columns if c != "node"]
     words = len(cols)
 
@@ -418,9 +441,10 @@ def _candidate_edges(prints: DataFrame, radius: int, bands: int, draws: int) ->
 
     schema = "node long, " + ", ".join(f"{c} long" for c in cols)
     placed = prints.select("node", *cols).mapInArrow(keyed, schema + ", keys array<long>").select("node", F.explode("keys").alias("bucket"), *cols)
-    counted = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    tiled = materialize(counted.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-buckets")
-    dealt = _tiles(placed.join(tiled, "bucket")).select("node", "bucket", *cols)
+    counted = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    large = materialize(counted.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "simhash-buckets")
+    sized = placed.join(large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = _tiles(sized).select("node", "bucket", *cols)
     # Sorted by node too, the links of a bucket lead to its smallest node: those of a group are mostly the same in all its buckets.
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda it: _link_batches(it, words, radius, link_pairs), "a long, b long")
 
@@ -447,12 +471,15 @@ def _confirmed_edges(sets: DataFrame, texts: DataFrame, cols: list[str], shingle
     meet in some task.
     """
     classes = materialize(sets.groupBy(*cols).agg(F.min("node").alias("node")).select("node", *cols), "simhash-classes")
+    bands, draws = key_plan(64 * len(cols), bands, draws, classes.count(), jaccard)
     reached = connected_components(_candidate_edges(classes, radius, bands, draws))
     named = sets.join(classes.withColumnRenamed("node", "class"), cols).join(reached.withColumnRenamed("node", "class"), "class", "left")
     grouped = materialize(named.select("node", "n", F.col("rep.key").alias("key"), F.coalesce("component", "class").alias("bucket")), "simhash-groups")
     sizes = grouped.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
-    members = grouped.select("node", "key", "bucket").join(sizes.select("bucket", F.greatest(F.ceil(F.col("total") / GROUP), F.lit(1)).cast("int").alias("tiles")), "bucket")
-    dealt = _tiles(texts.join(members, "key")).select("node", "bucket", "text")
+    tiles = sizes.select("bucket", F.greatest(F.ceil(F.col("total") / GROUP), F.lit(1)).cast("int").alias("tiles"))
+    members = materialize(grouped.select("node", "key", "bucket").join(tiles, "bucket"), "simhash-members")
+    some = _passed(texts, _key_bits(members)).where("_set").drop("_set")
+    dealt = _tiles(some.join(members, "key")).select("node", "bucket", "text")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _confirm_batches(it, shingle, jaccard), "a long, b long")
 
 
@@ -475,8 +502,8 @@ def without_near_copies(
     documents; of rows equal in id and text one stays. Null texts are empty ones,
     and texts without words are copies of one another. An empty table stays empty.
 
-    Decisions are made on 16 bytes a row; texts move only to be confirmed, and
-    where the rows to drop are too many to be broadcast.
+    Decisions are made on 16 bytes a row; a text moves only where a bit filter
+    says that it may have to be confirmed, dropped or made single.
     """
     key = _row_keys(docs, id_col, text_col)
     picked = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -493,17 +520,30 @@ def without_near_copies(
     best = sets.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("rep").alias("rep"))
     keepers = best.select(F.col("rep.key").alias("key"), F.lit(True).alias("stays"))
     decided = prints.groupBy("key").agg(F.count("*").alias("rows")).join(keepers, "key", "left").where("stays is null or rows > 1")
-    decided = materialize(decided.select(F.col("key").alias("_key"), F.col("stays").isNotNull().alias("_one")), "simhash-decided")
+    decided = materialize(decided.select("key", F.col("stays").isNotNull().alias("one")), "simhash-decided")
     release(prints)
-    plain = docs.join(decided, key == decided["_key"], "left_anti")
-    return plain.unionByName(_one_each(docs, key, decided.where("_one")))
-
-
-def _one_each(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """One row of each of the ``keys``, which several rows of ``docs`` share."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.join(keys, key == keys["_key"], "left_semi").select(key.alias("_key"), whole.alias("_row"))
-    return rows.dropDuplicates(["_key"]).select("_row.*")
+    rows = _passed(docs.select(key.alias("key"), whole.alias("row")), _key_bits(decided))
+    some = rows.where("_set").drop("_set")
+    once = some.join(decided.where("one").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    kept = rows.where("not _set").drop("_set").unionByName(some.join(decided.select("key"), "key", "left_anti")).unionByName(once)
+    return kept.select("row.*")
+
+
+def _key_bits(keys: DataFrame) -> DataFrame:
+    """``word, bits``: one bit of ``FILTER_BITS`` for each of the keys, in words of 64."""
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    marks = keys.select(place.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    return materialize(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")), "simhash-bits")
+
+
+def _passed(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` with ``_set``: whether the key's bit is. Where it is not, the key is not among those marked, and the row need not move."""
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    placed = rows.withColumn("_at", place).withColumn("word", F.shiftright("_at", 6))
+    found = placed.join(F.broadcast(words), "word", "left")  # FILTER_BITS / 64 rows at most
+    hit = F.expr("coalesce(shiftright(bits, cast(_at & 63 as int)) & 1, 0L) = 1")
+    return found.withColumn("_set", hit).select(*rows.columns, "_set")
 
 
 def simhash_components(

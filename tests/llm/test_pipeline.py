@@ -94,6 +94,17 @@ def test_near_copies_are_exact_in_both_directions(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == set(comp)
 
 
+def test_wider_keys_find_as_many():
+    """Beyond some ten million sets keys grow, and their number with them."""
+    same = 1 - np.arccos(2 * 0.8 / 1.8) / np.pi
+    chance = lambda bands, draws: 1 - (1 - same ** (256 // bands)) ** (bands * draws)
+    assert simhash.key_plan(256, 21, 3, 10**6, 0.8) == (21, 3)
+    for distinct in (10**8, 10**9, 10**10):
+        bands, draws = simhash.key_plan(256, 21, 3, distinct, 0.8)
+        assert distinct / 2 ** (256 // bands) <= simhash.BUCKET and chance(bands, draws) > 0.9998
+        assert simhash.drawn_keys(np.zeros((2, 4), np.uint64), bands, draws).shape == (2, bands * draws)
+
+
 def test_link_sets_equals_all_pairs():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 40, int(rng.integers(0, 12))).astype(np.uint64)) for _ in range(300)]
