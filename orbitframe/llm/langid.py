@@ -275,4 +275,5 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", into
             names, scores, rejected = shared.value.predict(texts.where(texts.notna(), None).tolist())
             yield pd.DataFrame({"lang": names, "score": scores, "rejected": rejected})
 
-    return docs.withColumn(fresh(docs, into), predict(F.col(text_col)))
+    # Not to be repeated: a filter on the result reads the column instead of predicting again.
+    return docs.withColumn(fresh(docs, into), predict.asNondeterministic()(F.col(text_col)))
