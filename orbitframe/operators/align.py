@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from orbitframe.functions import constants as K
 from orbitframe.functions import pixel as P
 from orbitframe.operators import kernels
+from orbitframe.operators.reproject import to_mercator
 
 #: A scene as a row: one byte payload per band.
 SCENE = "city int, month_idx int, height int, width int, r binary, g binary, b binary, a binary"
+_PAYLOADS = ("r", "g", "b", "a")
 
 
 def to_scenes(px: DataFrame) -> DataFrame:
@@ -121,7 +123,11 @@ def needs_reprojection() -> Column:
 
 
 def reproject(scenes: DataFrame, transform_col: str = "transform") -> DataFrame:
-    """Scenes in degrees (EPSG 4326) to Mercator; others pass unchanged. Needs ``epsg`` and ``transform``."""
+    """Scenes in degrees (EPSG 4326) or metres of a zone (326xx, 327xx) to Mercator; those in it already pass unchanged.
+
+    Needs ``epsg`` and ``transform``. Any other system, an unknown one included,
+    is an error: its pixels have no place on the target grid.
+    """
     fields = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
     schema = f"{SCENE}, epsg int, {transform_col} {fields}"
 
@@ -129,15 +135,14 @@ def reproject(scenes: DataFrame, transform_col: str = "transform") -> DataFrame:
         for pdf in batches:
             rows = []
             for row in pdf.to_dict("records"):
-                if row["epsg"] == 4326:
-                    t = tuple(row[transform_col][k] for k in P.AFFINE)
-                    shape = (row["height"], row["width"])
-                    for band in ("r", "g", "b", "a"):
-                        made, moved = kernels.reproject_to_mercator(np.frombuffer(row[band], np.uint8).reshape(shape), t)
-                        row[band] = made.tobytes()
-                    row |= {"height": made.shape[0], "width": made.shape[1], "epsg": K.TARGET_EPSG, transform_col: dict(zip(P.AFFINE, moved, strict=True))}
+                if row["epsg"] != K.TARGET_EPSG:
+                    epsg = None if pd.isna(row["epsg"]) else int(row["epsg"])
+                    bands = [np.frombuffer(row[n], np.uint8).reshape(row["height"], row["width"]) for n in _PAYLOADS]
+                    made, moved = to_mercator(bands, tuple(row[transform_col][k] for k in P.AFFINE), epsg)
+                    row |= {n: band.tobytes() for n, band in zip(_PAYLOADS, made, strict=True)}
+                    row |= {"height": made[0].shape[0], "width": made[0].shape[1], "epsg": K.TARGET_EPSG, transform_col: dict(zip(P.AFFINE, moved, strict=True))}
                 rows.append(row)
             yield pd.DataFrame(rows, columns=pdf.columns)
 
-    names = ["city", "month_idx", "height", "width", "r", "g", "b", "a", "epsg", transform_col]
+    names = ["city", "month_idx", "height", "width", *_PAYLOADS, "epsg", transform_col]
     return scenes.select(*names).mapInPandas(run, schema)

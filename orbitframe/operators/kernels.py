@@ -247,27 +247,3 @@ def mercator(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unmercator(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     radius = 6378137.0
     return np.degrees(x / radius), np.degrees(2 * np.arctan(np.exp(y / radius)) - np.pi / 2)
-
-
-def reproject_to_mercator(band: np.ndarray, transform: tuple[float, ...]) -> tuple[np.ndarray, tuple[float, ...]]:
-    """A north-up band in degrees, resampled bilinearly to square Mercator pixels of the same count across."""
-    a, _, c, _, e, f = transform
-    h, w = band.shape
-    left, top = mercator(np.array(c), np.array(f))
-    right, bottom = mercator(np.array(c + w * a), np.array(f + h * e))
-    step = float((right - left) / w)
-    rows = max(1, int(round(float(top - bottom) / step)))
-    x = left + (np.arange(w) + 0.5) * step
-    y = top - (np.arange(rows) + 0.5) * step
-    lon, lat = unmercator(x, y)
-    return bilinear(band, (lat - f) / e - 0.5, (lon - c) / a - 0.5), (step, 0.0, float(left), 0.0, -step, float(top))
-
-
-def bilinear(band: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Samples at fractional rows x columns; edges repeat."""
-    r0, c0 = np.floor(rows).astype(int), np.floor(cols).astype(int)
-    fr, fc = (rows - r0)[:, None], (cols - c0)[None, :]
-    at = lambda r, c: band[np.ix_(np.clip(r, 0, band.shape[0] - 1), np.clip(c, 0, band.shape[1] - 1))].astype(float)
-    top = at(r0, c0) * (1 - fc) + at(r0, c0 + 1) * fc
-    low = at(r0 + 1, c0) * (1 - fc) + at(r0 + 1, c0 + 1) * fc
-    return np.clip(np.rint(top * (1 - fr) + low * fr), 0, 255).astype(np.uint8)

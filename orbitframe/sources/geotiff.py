@@ -8,10 +8,14 @@ it reads; a query of metadata columns alone never decodes a pixel.
 
 from __future__ import annotations
 
+import mmap
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,7 @@ _DEFLATE = (8, 32946)
 
 META = "file string, width int, height int, bands int, dtype string, epsg int, transform struct<a:double,b:double,c:double,d:double,e:double,f:double>"
 PAYLOAD = "r binary, g binary, b binary, a binary"
+_META_NAMES = ("file", "width", "height", "bands", "dtype", "epsg", "transform")
 
 
 @dataclass
@@ -149,16 +154,35 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def read_metadata(spark: SparkSession, path: str, glob: str = "*.tif") -> DataFrame:
-    """One row per file from headers alone."""
-    return read_scenes(spark, path, glob, payload=False)
+def read_metadata(spark: SparkSession, path: str, glob: str = "*.tif", on_error: str = "raise") -> DataFrame:
+    """One row per file from headers alone: of files in a mounted folder, only the pages of the directory are read.
+
+    A store that has no mounted path gives Spark whole files, whose pixels are not decoded.
+    """
+    if _scheme(spark, path) != "file":
+        return read_scenes(spark, path, glob, payload=False, on_error=on_error)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([_mapped(p, on_error) for p in pdf["path"]], columns=_META_NAMES)
+
+    return _files(spark, path, glob).select("path").mapInPandas(run, META)
+
+
+def _mounted(path: str) -> str:
+    return unquote(urlparse(path).path) if path.startswith("file:") else path
+
+
+def _mapped(path: str, on_error: str) -> dict:
+    with open(_mounted(path), "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        return _row(path, data, False, on_error)
 
 
 def read_scenes(spark: SparkSession, path: str, glob: str = "*.tif", payload: bool = True, on_error: str = "raise") -> DataFrame:
     """One row per file: metadata and, with ``payload``, up to four byte bands (missing ones null).
 
     ``on_error="zero"`` gives a damaged file a row of null metadata instead of
-    failing the job.
+    failing the job. Files of no bytes have no row, as Spark leaves them out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +205,7 @@ def _row(path: str, data: bytes, payload: bool, on_error: str) -> dict:
     except (ValueError, struct.error, zlib.error, KeyError, TypeError):
         if on_error != "zero":
             raise
-        out |= dict.fromkeys(("width", "height", "bands", "dtype", "epsg", "transform", *(names if payload else ())))
+        out |= dict.fromkeys((*_META_NAMES[1:], *(names if payload else ())))
     return out
 
 
@@ -194,18 +218,50 @@ def write_scenes(scenes: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                bands = [np.frombuffer(row[b], np.uint8).reshape(row["height"], row["width"]) for b in ("r", "g", "b", "a") if row[b] is not None]
-                t = row["transform"]
-                rows.append((row["file"], write_bands(np.stack(bands), tuple(t[k] for k in "abcdef"), row["epsg"])))
-            yield pd.DataFrame(rows, columns=["file", "content"])
+            yield pd.DataFrame([(row["file"], _encoded(row)) for row in pdf.to_dict("records")], columns=["file", "content"])
 
     encoded = scenes.mapInPandas(run, "file string, content binary")
     encoded.write.mode("overwrite").parquet(path)
     return scenes.sparkSession.read.parquet(path)
 
 
+def _encoded(row: dict) -> bytes:
+    bands = [np.frombuffer(row[b], np.uint8).reshape(row["height"], row["width"]) for b in ("r", "g", "b", "a") if row[b] is not None]
+    return write_bands(np.stack(bands), tuple(row["transform"][k] for k in "abcdef"), row["epsg"])
+
+
+def write_files(scenes: DataFrame, folder: str) -> DataFrame:
+    """Scene rows as single ``.tif`` files in a folder that all executors have mounted; ``file, bytes`` of each.
+
+    A file is written under another name and then renamed, so a task that runs
+    twice leaves one whole file. Names must be unique; other rows of a name
+    replace it.
+    """
+    if _scheme(scenes.sparkSession, folder) != "file":
+        raise ValueError("single files need a mounted folder; write_scenes fills any store")
+    at = _mounted(folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(at, exist_ok=True)
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                data, part = _encoded(row), f"{at}/.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, f"{at}/{os.path.basename(row['file'])}")
+                rows.append((row["file"], len(data)))
+            yield pd.DataFrame(rows, columns=["file", "bytes"])
+
+    written = scenes.mapInPandas(run, "file string, bytes long").collect()
+    return scenes.sparkSession.createDataFrame(written, "file string, bytes long")
+
+
+def _scheme(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

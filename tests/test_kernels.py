@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions import constants as K
 from orbitframe.functions import pixel as P
-from orbitframe.operators import align, kernels, mask
+from orbitframe.operators import align, kernels, mask, reproject
 from orbitframe.sources import surrogate
 
 masks = st.integers(0, 2**64 - 1).map(lambda n: np.array([n >> i & 1 for i in range(64)]).reshape(8, 8))
@@ -216,10 +216,54 @@ def test_mercator_round_trip():
     back = kernels.unmercator(x, y)
     assert np.allclose(back[0], lon) and np.allclose(back[1], lat)
     band = np.full((6, 6), 9, np.uint8)
-    out, t = kernels.reproject_to_mercator(band, (0.01, 0, 10.0, 0, -0.01, 50.0))
+    (out,), t = reproject.to_mercator([band], (0.01, 0, 10.0, 0, -0.01, 50.0), 4326)
     assert (out == 9).all() and t[0] == -t[4]
 
 
+def test_zones_against_known_points():
+    # Published pairs of degrees and zone metres.
+    east, north = reproject.to_zone(np.array([-79.387139]), np.array([43.642567]), 17, False)
+    assert abs(east[0] - 630084) < 1 and abs(north[0] - 4833439) < 1
+    east, north = reproject.to_zone(np.array([9.0]), np.array([0.0]), 32, False)
+    assert abs(east[0] - 500000) < 1e-6 and abs(north[0]) < 1e-6
+    # The arc of the meridian from the equator to 45 degrees is 4984944.378 m long.
+    assert abs(reproject.to_zone(np.array([9.0]), np.array([45.0]), 32, False)[1][0] / 0.9996 - 4984944.378) < 0.01
+    rng = np.random.default_rng(4)
+    lon, lat = rng.uniform(-3.5, 3.5, 200) + 147, rng.uniform(-84, 84, 200)
+    for south in (False, True):
+        back = reproject.from_zone(*reproject.to_zone(lon, lat, 55, south), 55, south)
+        assert np.allclose(back[0], lon, atol=1e-9) and np.allclose(back[1], lat, atol=1e-9)
+    assert reproject.zone_of(32755) == (55, True) and reproject.zone_of(3857) is None and reproject.zone_of(32661) is None
+
+
+@pytest.mark.parametrize("epsg", [4326, 32633, 32755])
+def test_reprojected_pixels_equal_plain_sampling(epsg):
+    rng = np.random.default_rng(5)
+    band = rng.integers(0, 256, (23, 31)).astype(np.uint8)
+    t = (0.001, 0.0, 14.0, 0.0, -0.001, 51.0) if epsg == 4326 else (30.0, 0.0, 480_000.0, 0.0, -30.0, 5_700_000.0)
+    (out,), made = reproject.to_mercator([band], t, epsg)
+    assert (out > 0).mean() > 0.8 and out.size >= band.size * 0.9
+    for y, x in zip(rng.integers(0, out.shape[0], 60), rng.integers(0, out.shape[1], 60), strict=True):
+        lon, lat = kernels.unmercator(np.array(made[2] + (x + 0.5) * made[0]), np.array(made[5] + (y + 0.5) * made[4]))
+        east, north = (lon, lat) if epsg == 4326 else reproject.to_zone(lon, lat, *reproject.zone_of(epsg))
+        col, row = (float(east) - t[2]) / t[0], (float(north) - t[5]) / t[4]
+        if not (0 <= col < 31 and 0 <= row < 23):
+            assert out[y, x] == 0
+            continue
+        total = 0.0
+        for r in (int(np.floor(row - 0.5)), int(np.floor(row - 0.5)) + 1):
+            for c in (int(np.floor(col - 0.5)), int(np.floor(col - 0.5)) + 1):
+                weight = (1 - abs(row - 0.5 - r)) * (1 - abs(col - 0.5 - c))
+                total += weight * band[min(max(r, 0), 22), min(max(c, 0), 30)]
+        assert abs(int(out[y, x]) - total) <= 0.5 + 1e-6
+
+
+def test_unknown_systems_are_an_error():
+    for epsg in (None, 2154, 32661):
+        with pytest.raises(ValueError, match="EPSG"):
+            reproject.to_mercator([np.zeros((2, 2), np.uint8)], (1.0, 0, 0, 0, -1.0, 0), epsg)
+
+
 def test_lab_round_trip(spark):
     px = spark.createDataFrame([(10, 200, 30), (0, 0, 0), (255, 255, 255), (128, 64, 250)], "r int, g int, b int")
     lab = P.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))

@@ -24,6 +24,18 @@ def test_geotiff_round_trip(spark, tmp_path):
     assert [r["width"] for r in rows] == [None, 33] and rows[1]["epsg"] == 3857
     assert (np.frombuffer(rows[1]["a"], np.uint8).reshape(70, 33) == bands[3]).all()
     assert "r" not in geotiff.read_metadata(spark, str(folder), "m_*.tif").columns
+    heads = geotiff.read_metadata(spark, str(tmp_path), on_error="zero")
+    assert "content" not in heads._jdf.queryExecution().executedPlan().toString()
+    assert heads.exceptAll(geotiff.read_scenes(spark, str(tmp_path), payload=False, on_error="zero")).isEmpty() and heads.count() == 2
+    (folder / "nothing.tif").touch()  # Spark lists no row for a file of no bytes
+    assert geotiff.read_metadata(spark, str(tmp_path), on_error="zero").count() == geotiff.read_scenes(spark, str(tmp_path), on_error="zero").count() == 2
+    (folder / "nothing.tif").unlink()
+    for _ in range(2):  # a second run leaves the same files
+        sizes = geotiff.write_files(geotiff.read_scenes(spark, str(folder), "m_*.tif"), f"{tmp_path}/single ones")
+    assert {p.name: p.stat().st_size for p in (tmp_path / "single ones").iterdir()} == {r["file"]: r["bytes"] for r in sizes.collect()}
+    assert (geotiff.read_bands((tmp_path / "single ones" / "m_2018_01.tif").read_bytes()) == bands).all()
+    assert geotiff.read_metadata(spark, f"{tmp_path}/single ones").first()["transform"]["f"] == 200.25
+    (tmp_path / "single ones" / "m_2018_01.tif").unlink()
     with pytest.raises(Exception, match="TIFF|unpack"):
         geotiff.read_scenes(spark, str(tmp_path)).collect()
     assert [r[0] for r in geotiff.discover_cities(spark, str(tmp_path), prefix="A").collect()] == ["A_1"]
