@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import materialize, release
+from orbitframe.llm.common import HOT_ROWS, hot_join, materialize, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,9 +15,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``component`` is the smallest node reachable. Nodes without an edge do not
     appear; loops and repeated edges are harmless; null ends are ignored; no
     edges give no rows. Alternates large-star and small-star steps: each is one
-    map-side-combined ``min`` per node and one equi-join, so a hub costs a
-    split join and never a collected neighbour list. Every round is written to
-    the shared folder; rounds grow with the logarithm of the longest path.
+    map-side-combined ``min`` per node and one equi-join. The minima of hubs are
+    broadcast to their edges (``common.hot_join``), so no task gets all
+    neighbours of one node. Every round is written to the shared folder; rounds
+    grow with the logarithm of the longest path.
     """
     down = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -27,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(down, "cc")
     state = _state(current)
     while state[0]:
-        step = materialize(_small_star(_large_star(current)), "cc")
+        step = materialize(_small_star(_large_star(current, state[0]), state[0]), "cc")
         after = _state(step)
         release(current)
         current = step
@@ -47,16 +48,23 @@ def _state(edges: DataFrame) -> tuple:
     return (row[0], int(row[1]))
 
 
-def _large_star(down: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, ends: DataFrame, count: int) -> DataFrame:
+    """``edges`` with ``m``, the smallest other end that ``ends`` gives their ``u``; of ``count`` rows at most, about."""
+    least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if count <= HOT_ROWS:
+        return edges.join(least.drop("n"), "u")
+    return hot_join(edges, least, ["u"], count)
+
+
+def _large_star(down: DataFrame, count: int) -> DataFrame:
     both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    up = both.where("v > u")
+    return _least(up, both, 2 * count).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(down: DataFrame) -> DataFrame:
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(down: DataFrame, count: int) -> DataFrame:
+    joined = _least(down, down, count).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.unionByName(down.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 # ------------------------------------------------------- inside one task

@@ -162,6 +162,19 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
 
 
+def test_components_do_not_depend_on_what_counts_as_a_hub(spark, monkeypatch):
+    from orbitframe.llm import common, graph
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    hubs = [(h, k) for h in (0, 500, 900) for k in range(h + 1, h + 40)]
+    edges = hubs + [(20, 520), (2000, 2001), (2001, 2002), (900, 900), (930, 931)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len({r["node"] for r in got})
+    want = {k: 0 for k in [*range(40), *range(500, 540)]} | {k: 900 for k in range(900, 940)} | {k: 2000 for k in (2000, 2001, 2002)}
+    assert {r["node"]: r["component"] for r in got} == want
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
