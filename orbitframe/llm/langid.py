@@ -171,14 +171,20 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def _sample(rows: DataFrame, sample: int) -> list[tuple[str, int, np.ndarray]]:
-    """``(lang, n-grams, counts)`` of about ``sample`` texts a language: those of the smallest hashes of the key."""
+    """``(lang, n-grams, counts)`` of about ``sample`` texts a language: those of the smallest hashes of the key.
+
+    A key gives one text a language, its smallest, however often it is repeated;
+    rows without a key are told apart by their texts.
+    """
     width = 1 << 40
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
     share = {k: min(width, -(-width * sample // n)) for k, n in sizes.items()}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    drawn = rows.withColumn("h", F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(width))).where(F.col("h") < limit[F.col("lang")])
+    mixed = F.when(F.col("key").isNull(), F.xxhash64("text", F.lit("langid"))).otherwise(F.xxhash64("key", F.lit("langid")))
+    hashed = rows.withColumn("h", F.pmod(mixed, F.lit(width))).where(F.col("h") < limit[F.col("lang")])
+    drawn = hashed.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

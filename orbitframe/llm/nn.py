@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 F32 = np.float32
 
+#: Labelled texts of more bytes are not drawn for a fit; scoring reads texts of any length.
+SAMPLE_BYTES = 1 << 17
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(1) / (F32(1) + np.exp(-np.clip(x, -30, 30)))
@@ -43,6 +46,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int
     ``labels`` has ``key, target``, ``docs`` has ``key, text``. The labels are
     drawn first, by a hash of the key, so reruns agree; what is left is bounded
     by ``per_class`` and is sent to the documents, whose texts stay where they are.
+    A key gives one text however often it is repeated, the smallest of at most
+    ``SAMPLE_BYTES`` bytes, so rows and bytes of the result are both bounded.
     """
     width = 1 << 40
     rows = labels.where(F.col("target").isin(*per_class)).select("key", "target").distinct()
@@ -50,4 +55,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int
     share = {y: min(width, -(-width * per_class[y] // n)) for y, n in sizes.items()} or {0: 0}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     drawn = rows.where(F.pmod(F.xxhash64(F.col("key"), F.lit(salt)), F.lit(width)) < limit[F.col("target")])
-    return docs.join(F.broadcast(drawn), "key").select("key", "target", "text"), sizes
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    return short.join(F.broadcast(drawn), "key").groupBy("key", "target").agg(F.min("text").alias("text")), sizes

@@ -175,3 +175,14 @@ def test_op3_equals_a_plain_forward_pass(spark, sf_dir):
 def test_passages_cover_the_whole_text():
     bag = quality.passages("a " * 200)
     assert len(bag) == 4 and quality.passages(None).shape == (1, quality.FEATURES)
+
+
+def test_a_repeated_key_or_a_long_text_does_not_swell_the_sample(spark):
+    from orbitframe.llm import langid, nn
+
+    docs = [(1, "b")] * 50 + [(1, "a"), (2, "c" * (nn.SAMPLE_BYTES + 1)), (3, None), (4, "d"), (None, "e")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 7), (None, 1)], "key long, target int")
+    drawn, _ = nn.labelled_sample(spark.createDataFrame(docs, "key long, text string"), labels, {0: 10, 1: 10}, "salt")
+    assert sorted((r["key"], r["target"], r["text"]) for r in drawn.collect()) == [(1, 1, "a"), (3, 0, None)]
+    rows = spark.createDataFrame([(1, "one text", "x")] * 40 + [(None, f"text {c}", "x") for c in "abc"], "key long, text string, lang string")
+    assert len(langid._sample(rows, 100)) == 4
