@@ -476,8 +476,8 @@ def _confirmed_edges(sets: DataFrame, texts: DataFrame, cols: list[str], shingle
     named = sets.join(classes.withColumnRenamed("node", "class"), cols).join(reached.withColumnRenamed("node", "class"), "class", "left")
     grouped = materialize(named.select("node", "n", F.col("rep.key").alias("key"), F.coalesce("component", "class").alias("bucket")), "simhash-groups")
     sizes = grouped.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
-    tiles = sizes.select("bucket", F.greatest(F.ceil(F.col("total") / GROUP), F.lit(1)).cast("int").alias("tiles"))
-    members = materialize(grouped.select("node", "key", "bucket").join(tiles, "bucket"), "simhash-members")
+    tiles = sizes.select("bucket", F.col("k").alias("n"), F.greatest(F.ceil(F.col("total") / GROUP), F.lit(1)).cast("int").alias("tiles"))
+    members = materialize(hot_join(grouped.select("node", "key", "bucket"), tiles, ["bucket"], grouped.count()), "simhash-members")
     some = _passed(texts, _key_bits(members)).where("_set").drop("_set")
     dealt = _tiles(some.join(members, "key")).select("node", "bucket", "text")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _confirm_batches(it, shingle, jaccard), "a long, b long")

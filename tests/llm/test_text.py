@@ -162,6 +162,19 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
 
 
+def test_near_copies_do_not_depend_on_what_counts_as_hot(spark, monkeypatch):
+    from orbitframe.llm import common, graph
+
+    words = [f"word{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[:60], f"own{i}", *words[61:]])) for i in range(12)] + [(50 + i, f"quite another text of number {i} that none repeats") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keep = lambda: sorted(r["doc_id"] for r in without_near_copies(docs, shingle=5, words=4, radius=60, bands=21, draws=3, jaccard=0.8).collect())
+    assert keep() == [0, *range(50, 58)]
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(graph, "HOT_ROWS", 3)
+    assert keep() == [0, *range(50, 58)]
+
+
 def test_components_do_not_depend_on_what_counts_as_a_hub(spark, monkeypatch):
     from orbitframe.llm import common, graph
 
